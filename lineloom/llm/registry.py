@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe, token_counts
+from lineloom.llm import bpe, html_text, language_id, pii, token_counts
 from lineloom.llm._common import table
 
 
@@ -30,6 +30,34 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
     )
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text. The counts and the digest are those of the base spans, ``n_added`` counts the others."""
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
+    )
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, by a model of the labelled documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = language_id.train(docs.where(remainder != 2), "doc_id")
+    found = language_id.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None, limit: int = 4096) -> DataFrame:
     """Token count of every text and whether it is over ``limit``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +67,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op6_personal_data": op6_personal_data,
+    "op7_main_text": op7_main_text,
+    "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
