@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe, html_text, language_id, pii, token_counts
+from lineloom.llm import bpe, html_text, language_id, mixing, pii, token_counts
 from lineloom.llm._common import table
 
 
@@ -30,6 +30,12 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str, path: str | None = None
     )
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.plan(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "finish_time")
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text. The counts and the digest are those of the base spans, ``n_added`` counts the others."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -67,10 +73,36 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
+    "op2_mix_sources": op2_mix_sources,
     "op6_personal_data": op6_personal_data,
     "op7_main_text": op7_main_text,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) AS n FROM d GROUP BY source
+), w AS (
+  SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][(n % 3 + 1)::INT] AS w, 3.0::DOUBLE * source_size AS cap FROM s
+), u AS (
+  SELECT *, cap / w AS ratio,
+         (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0.0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0.0)) AS unit
+  FROM w WINDOW b AS (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), t AS (
+  SELECT source, source_size, least(cap, coalesce((SELECT arg_min(unit, (ratio, n)) FROM u WHERE unit <= ratio) * w, cap)) AS target FROM u
+), q AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start))
+        + greatest(0, least(size, round(target) - 2 * source_size - start)))::BIGINT AS taken,
+       CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish_time
+FROM q""",
+}
