@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import bpe, html_text, language_id, mixing, pii, token_counts
+from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, mixing, pii, token_counts
 from lineloom.llm._common import table
 
 
@@ -36,6 +36,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "finish_time")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows found of every row whose vec_id 100 divides."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op5_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 rows with the largest inner product with every row whose vec_id 50 divides."""
+    return exact_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text. The counts and the digest are those of the base spans, ``n_added`` counts the others."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,6 +65,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text, by a model of the labelled documents that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -74,8 +89,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
+    "op4_nearest": op4_nearest,
+    "op5_top_products": op5_top_products,
     "op6_personal_data": op6_personal_data,
     "op7_main_text": op7_main_text,
+    "op8_similar_documents": op8_similar_documents,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
 }
@@ -105,4 +123,14 @@ SELECT doc_id, size, source_size, target,
         + greatest(0, least(size, round(target) - 2 * source_size - start)))::BIGINT AS taken,
        CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish_time
 FROM q""",
+    "op5_top_products": """
+WITH v AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.id AS query_id, x.id AS vec_id, list_sum(list_transform(list_zip(q.v, x.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v x ON q.id <> x.id WHERE q.id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
