@@ -231,6 +231,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
     return with_columns(df, lambda: lambda texts: ([redacted(t, spans(t)) for t in texts],), [T.StructField(text, T.StringType())], text).select(*[F.col(f"`{c}`") for c in columns])
 
 
+def count_of(found: Column, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(found: Column) -> Column:
     """``kind:start:end`` of the spans, joined by commas."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -52,7 +52,7 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        *[pii.count_of(base, k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.joined(base).cast("binary"), 256).alias("base_sha256"),
         pii.joined(F.col("spans")).alias("spans"),
         (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
