@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, mixing, pii, token_counts
+from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, mixing, pii, suffix_dedup, token_counts
 from lineloom.llm._common import table
 
 
@@ -36,6 +36,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken", "finish_time")
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that strings of 200 bytes cover which start anywhere else too."""
+    done = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found of every row whose vec_id 100 divides."""
     return ann.search(table(spark, sf_dir, "embeddings"))
@@ -89,6 +95,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_nearest": op4_nearest,
     "op5_top_products": op5_top_products,
     "op6_personal_data": op6_personal_data,
