@@ -106,7 +106,8 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     rest = taken - whole * size
     copies = F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0)))
     planned = planned.where(taken > 0).withColumn("_rest", rest).withColumn("_whole", whole).select("*", copies.alias("_copy"))
-    cut = F.regexp_extract(F.col(text), F.concat(F.lit(r"(?s)^([\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("_rest").cast("string"), F.lit("})")), F.lit(1))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    cut = F.array_join(F.slice(pieces, 1, F.col("_rest").cast("int")), "")
     at = F.col("finish_time") + (F.col("_copy") - 1) * F.col("source_size") / F.col("target")
-    out = planned.withColumn("_at", at).withColumn(text, F.when(F.col("_copy") > F.col("_whole"), F.rtrim(cut)).otherwise(F.col(text)))
+    out = planned.withColumn("_at", at).withColumn(text, F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col(text)))
     return out.sort("_at", key, "_copy").select(*[F.col(f"`{c}`") for c in df.columns])
