@@ -51,6 +51,16 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def hidden(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named _c0, _c1, .., so that an operator's own names can't clash with them."""
+    return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+
+
+def place(df: DataFrame, column: str) -> str:
+    """The name that ``hidden`` gives to a column."""
+    return f"_c{next(i for i, c in enumerate(df.columns) if c.lower() == column.lower())}"
+
+
 def with_columns(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], source: str) -> DataFrame:
     """Add ``fields``, computed in Arrow batches from column ``source``; input columns of the same names are replaced.
 

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm._common import checkpointed
+from lineloom.llm._common import checkpointed, hidden, place
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,14 +36,14 @@ def words(text: Column) -> Column:
 
 def _queued(df: DataFrame, key: str, source: str, text: str, buckets: int) -> DataFrame:
     """Columns of the queue: source, place in the shuffle, bucket and size. A null source is a source of its own."""
-    place = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(SALT), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c.lower() not in PLAN_COLUMNS],
+        *df.columns,
         words(F.col(text)).alias("size"),
         F.col(source).isNull().alias("_null"),
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source"),
-        place.alias("_place"),
-        F.floor(F.conv(F.substring(place, 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long").alias("_bucket"),
+        order.alias("_place"),
+        F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).cast("long").alias("_bucket"),
     )
 
 
@@ -64,25 +64,21 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return t.select("_null", "_source", "source_size", F.least(cap, F.coalesce(F.col("_level") * F.col("_w"), cap)).alias("target"))
 
 
-def plan(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = 3, share: float = 1.0, keep_text: bool = True) -> DataFrame:
-    """Add size, source_size, target, taken and finish_time (of the first pass) to every row.
-
-    Null and empty texts have size 0 and nothing is taken of them; no row of a source with target 0 is taken either. The
-    order of the queues depends on ``key``, size and text alone, so reruns agree; of rows equal in all three any may come
-    first. Columns that already have these names are replaced. An empty table gives an empty plan.
-    """
-    n = df.count()
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(n / BUCKET_ROWS)))
+def _planned(df: DataFrame, key: str, source: str, text: str, weights: Sequence[float], most: int, share: float, keep_text: bool) -> DataFrame:
+    """The plan over the columns as ``hidden`` names them."""
+    key, source, text = (place(df, c) for c in (key, source, text))
+    df = hidden(df)
+    buckets = max(1, min(MOST_BUCKETS, math.ceil(df.count() / BUCKET_ROWS)))
     by = ["_null", "_source"]
     queue = _queued(df, key, source, text, buckets)
     sums = checkpointed(queue.groupBy(*by, "_bucket").agg(F.sum("size").alias("_sum")))
     target = targets(sums.groupBy(*by).agg(F.sum("_sum").alias("source_size")), weights, most, share)
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum").join(target, by)
-    ties = ["_place", f"`{key}`", "size"]
+    ties = ["_place", key, "size"]
     if keep_text:
-        queue = queue.withColumn("_text", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-        ties.append("_text")
+        queue = queue.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+        ties.append("_hash")
     else:
         queue = queue.drop(text)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +88,19 @@ def plan(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     of_pass = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), goal - p * F.col("source_size") - F.col("_start")))
     taken = sum((of_pass(p) for p in range(1, most)), of_pass(0))
     rows = rows.withColumn("taken", taken.cast("long")).withColumn("finish_time", F.when(F.col("target") > 0, (F.col("_start") + F.col("size")) / F.col("target")))
-    return rows.drop("_place", "_bucket", "_ahead", "_text", "_start", *by)
+    return rows.drop("_place", "_bucket", "_ahead", "_hash", "_start", *by)
+
+
+def plan(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = 3, share: float = 1.0, keep_text: bool = True) -> DataFrame:
+    """Add size, source_size, target, taken and finish_time (of the first pass) to every row.
+
+    Null and empty texts have size 0 and nothing is taken of them; no row of a source with target 0 is taken either. The
+    order of the queues depends on ``key``, size and text alone, so reruns agree; of rows equal in all three any may come
+    first. Columns that already have these names are replaced. An empty table gives an empty plan.
+    """
+    rows = _planned(df, key, source, text, weights, most, share, keep_text)
+    kept = [(f"_c{i}", c) for i, c in enumerate(df.columns) if c.lower() not in PLAN_COLUMNS and (keep_text or c.lower() != text.lower())]
+    return rows.select(*[F.col(h).alias(c) for h, c in kept], *PLAN_COLUMNS)
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = 3, share: float = 1.0) -> DataFrame:
@@ -100,14 +108,15 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
 
     The text of the one document of each source that the budget cuts ends after the last word taken.
     """
-    planned = plan(df, key, source, text, weights, most, share)
+    planned = _planned(df, key, source, text, weights, most, share, True)
+    hidden_text = place(df, text)
     size, taken = F.col("size"), F.col("taken")
     whole = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
     rest = taken - whole * size
     copies = F.explode(F.sequence(F.lit(1), whole + F.when(rest > 0, 1).otherwise(0)))
     planned = planned.where(taken > 0).withColumn("_rest", rest).withColumn("_whole", whole).select("*", copies.alias("_copy"))
-    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
+    pieces = F.regexp_extract_all(F.col(hidden_text), F.lit(rf"([\x20\x09-\x0D]*{WORD})"), F.lit(1))
     cut = F.array_join(F.slice(pieces, 1, F.col("_rest").cast("int")), "")
     at = F.col("finish_time") + (F.col("_copy") - 1) * F.col("source_size") / F.col("target")
-    out = planned.withColumn("_at", at).withColumn(text, F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col(text)))
-    return out.sort("_at", key, "_copy").select(*[F.col(f"`{c}`") for c in df.columns])
+    out = planned.withColumn("_at", at).withColumn(hidden_text, F.when(F.col("_copy") > F.col("_whole"), cut).otherwise(F.col(hidden_text)))
+    return out.sort("_at", place(df, key), "_copy").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])

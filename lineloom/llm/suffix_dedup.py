@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm._common import attach, checkpointed, slices
+from lineloom.llm._common import attach, checkpointed, hidden, place, slices
 from lineloom.llm.graph import filter_of, in_filter
 from lineloom.llm.jaccard_join import mixed
 
@@ -359,9 +359,8 @@ def dedup(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     spans = checkpointed(repeats(df, text, length))
     some = spark.sparkContext.broadcast(filter_of(spans.select(F.crc32("digest"))))
     made = ("n_bytes", "n_removed", "n_spans", "kept")
-    names = [c for c in df.columns if c.lower() not in (*made, text.lower())]
-    kept = [F.col(f"`{c}`") for c in names]
-    rows = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"), *kept)
+    kept = [f"_c{i}" for i, c in enumerate(df.columns) if c.lower() not in (*made, text.lower())]
+    rows = hidden(df).select(F.coalesce(F.col(place(df, text)), F.lit("")).alias("_text"), *kept)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,4 +388,5 @@ def dedup(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[: n - 2], pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(left, pa.binary())], names=[*b.schema.names[: n - 2], *made])
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clean.schema.fields[:-2])
-    return clean.union(hurt).mapInArrow(cut, ", ".join(x for x in (own, "n_bytes long, n_removed long, n_spans long, kept binary") if x))
+    done = clean.union(hurt).mapInArrow(cut, ", ".join(x for x in (own, "n_bytes long, n_removed long, n_spans long, kept binary") if x))
+    return done.select(*[F.col(k).alias(df.columns[int(k[2:])]) for k in kept], *made)
