@@ -6,8 +6,9 @@ A document's set holds the 64-bit hashes of its distinct n-grams. The join works
    The links found join most near copies into groups, in a number of comparisons that grows with the documents.
 2. Tiles. Under any one order of all hashes, linked sets share a hash among the first n - ceil(t n) + 1 of each. The
    order puts hashes that very many documents have last (by a sketch of fixed size). Every such hash is the key of a
-   tile; a hash whose documents are all of one group already is passed over. Tiles are banded by set size, as linked sets
-   differ in size by the threshold at most. A tile's rows carry bitmap signatures, the parities of hashed positions: the
+   tile; a hash whose documents are all of one group already is passed over, and so is one whose documents are exactly
+   those of another tile. Inside a tile sizes are banded, as linked sets differ in size by the threshold at most. A
+   tile's rows carry bitmap signatures, the parities of hashed positions: the
    bits in which two signatures differ bound from below the elements in which the sets differ, and so bound their
    overlap from above. Pairs of different groups that the bound leaves are candidates.
 3. Candidates are decided by intersecting their sorted hash arrays.
@@ -34,6 +35,10 @@ SEEDS = 8
 #: Counters of the sketch of frequent hashes, as a power of two, and how many times the mean count is frequent.
 SKETCH_BITS, FREQUENT = 20, 4
 _CHUNKS = 16
+#: Bytes of prefixes that a bucket of hashes holds, about.
+BUCKET_BYTES = 8 << 20
+#: Bytes of sets that a block of documents has where pairs are decided, about.
+TILE_BYTES = 48 << 20
 #: Words whose hashes a worker keeps.
 CACHE = 400_000
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -86,8 +91,8 @@ def prefix(found: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """Parities of the hashes that fall on each of so many positions: a power of two not below the set's size, at least 64."""
-    bits = max(64, 1 << int(len(found) - 1).bit_length())
+    """Parities of the hashes that fall on each of so many positions: a power of two not below twice the set's size, at least 64."""
+    bits = max(64, 1 << int(2 * len(found) - 1).bit_length())
     odd = np.bincount((mixed(found) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -105,36 +110,42 @@ def least_overlap(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def band(n: int, percent: int) -> int:
-    return int(np.floor(np.log(n) / -np.log(percent / 100) + 1e-9))
-
-
-def tile_pairs(ids: list[int], sizes: list[int], groups: list[int], own: list[bool], bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller id first) of a tile that may be linked: of different groups, one at least of the tile's own band."""
-    n = len(ids)
-    width = min(map(len, bits))
-    if n <= 24:
-        b = [folded(x, width) for x in bits]
-        for i in range(n):
-            for j in range(i):
-                if groups[i] != groups[j] and (own[i] or own[j]) and ids[i] != ids[j]:
-                    total = sizes[i] + sizes[j]
-                    if (total - (b[i] ^ b[j]).bit_count()) // 2 >= (least := least_overlap(total, percent)) and min(sizes[i], sizes[j]) >= least:
-                        yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
-        return
-    pad = -(-width // 8) * 8
-    b = np.frombuffer(b"".join(folded(x, width).to_bytes(pad, "little") for x in bits), np.uint64).reshape(n, -1)
-    size, group, mine, key = np.array(sizes), np.array(groups), np.array(own), np.array(ids)
+def tile_pairs(ids: list[int], sizes: list[int], groups: list[int], bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller id first) of a tile that may be linked: of different groups, and in one band of sizes."""
+    order = sorted(range(len(ids)), key=sizes.__getitem__)
+    ids, sizes, groups, bits = ([x[i] for i in order] for x in (ids, sizes, groups, bits))
+    n, low = len(ids), 0
+    small = n <= 24
+    width = np.array([len(x) for x in bits])
+    place = np.zeros(n, np.int64)
+    rows: dict[int, np.ndarray] = {}  # signatures of each width, those of twice the width folded
+    if not small:
+        size, group, key = np.array(sizes), np.array(groups), np.array(ids)
+        for w in np.unique(width).tolist():
+            of = np.flatnonzero(width == w)
+            place[of] = np.arange(len(of))
+            rows[w] = np.frombuffer(b"".join(bits[i] for i in of), np.uint64).reshape(len(of), -1)
     for i in range(1, n):
-        j = np.flatnonzero((group[:i] != group[i]) & (mine[:i] | mine[i]) & (key[:i] != key[i]))
-        total = size[j] + size[i]
-        least = least_overlap(total, percent)
-        j, total, least = (x[np.minimum(size[j], size[i]) >= least] for x in (j, total, least))
-        for at in range(0, len(j), 4096):
-            part = slice(at, at + 4096)
-            apart = np.bitwise_count(b[j[part]] ^ b[i]).sum(1, dtype=np.int64)
-            for k in key[j[part][(total[part] - apart) // 2 >= least[part]]].tolist():
-                yield (k, ids[i]) if k < ids[i] else (ids[i], k)
+        while 100 * sizes[low] < percent * sizes[i]:  # the band of i: sizes that a link allows
+            low += 1
+        if small:
+            for j in range(low, i):
+                if groups[i] != groups[j] and ids[i] != ids[j]:
+                    w = min(len(bits[i]), len(bits[j]))
+                    apart = (folded(bits[i], w) ^ folded(bits[j], w)).bit_count()
+                    if (sizes[i] + sizes[j] - apart) // 2 >= least_overlap(sizes[i] + sizes[j], percent):
+                        yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
+            continue
+        band = low + np.flatnonzero((group[low:i] != group[i]) & (key[low:i] != key[i]))
+        for w in np.unique(width[band]).tolist():  # not above the width of i, as sizes ascend
+            mine = np.frombuffer(folded(bits[i], w).to_bytes(w, "little"), np.uint64)
+            alike = band[width[band] == w]
+            for at in range(0, len(alike), 4096):
+                j = alike[at : at + 4096]
+                total = size[j] + size[i]
+                apart = np.bitwise_count(rows[w][place[j]] ^ mine).sum(1, dtype=np.int64)
+                for k in key[j[(total - apart) // 2 >= least_overlap(total, percent)]].tolist():
+                    yield (k, ids[i]) if k < ids[i] else (ids[i], k)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -202,11 +213,7 @@ def linked(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFra
         for b in slices(batches, 64):
             keep = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
             b = b.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"])
 
@@ -214,6 +221,53 @@ def linked(pairs: DataFrame, df: DataFrame, width: int, percent: int) -> DataFra
     return met.mapInArrow(run, "a long, b long")
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted arrays of distinct hashes are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def linked_in_tiles(pairs: DataFrame, df: DataFrame, sizes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) of ``pairs`` that connect what they connect all together.
+
+    The pairs are cut into the components of their graph, and large ones into pairs of blocks, so that a document's set
+    travels once or a few times, not once for each pair. In a tile, pairs that are connected already are passed over.
+    """
+    label = checkpointed(components(pairs))
+    blocks = label.join(sizes, "id").groupBy("component").agg(F.ceil(F.sum("n") * 8 / TILE_BYTES).alias("k"))
+    met = pairs.join(label.withColumnRenamed("id", "a"), "a").join(blocks, "component")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    met = checkpointed(met.select("a", "b", "component", F.least(block("a"), block("b")).alias("x"), F.greatest(block("a"), block("b")).alias("y")))
+    tile = ["component", "x", "y"]
+    other = [f"{c}_of" for c in tile]
+    need = met.select(*[F.col(c).alias(o) for c, o in zip(tile, other, strict=True)], F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets_of(df, label.select("id"), width).join(need, "id")
+
+    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: dict[int, list[np.ndarray]] = {}
+        for i, x in zip(right.column("id").to_pylist(), right.column("hashes").combine_chunks(), strict=True):
+            found.setdefault(i, []).append(np.frombuffer(x.as_buffer(), np.uint64))
+        parent: dict[int, int] = {}
+
+        def root(i: int) -> int:
+            while (up := parent.get(i, i)) != i:
+                parent[i] = i = parent.get(up, up)
+            return i
+
+        out: list[tuple[int, int]] = []
+        for a, b in sorted(zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)):
+            if root(a) != root(b) and any(similar(x, y, percent) for x in found.get(a, ()) for y in found.get(b, ())):
+                parent[root(b)] = root(a)
+                out.append((a, b))
+        return pa.table([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return met.groupBy(*tile).cogroup(sets.select("id", "hashes", *other).groupBy(*other)).applyInArrow(solve, "a long, b long")
+
+
 def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between documents of different groups. ``groups``: (id, group, set_hash) of the documents that take part."""
     spark = df.sparkSession
@@ -229,35 +283,84 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
     rows = df.where("id IS NOT NULL").mapInArrow(prefixes, "id long, n long, prefix binary, bits binary").where("n > 0")
     rows = checkpointed(rows.join(groups, "id"))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Hashes with the ids and groups of their documents go to buckets as packed arrays, by their highest bits.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("prefix"))).collect()[0][0] or 0
+    bits_ = max(int(np.ceil(np.log2(max(parts, size / BUCKET_BYTES)))), 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        weight = 0
+
+        def flush() -> pa.RecordBatch:
+            x = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+            bucket = (x[:, 0].view(np.uint64) >> np.uint64(64 - bits_)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            x, bucket = x[order], bucket[order]
+            cut = np.flatnonzero(np.diff(bucket)) + 1
+            blocks = np.split(x, cut) if len(x) else []
+            own = [y[:, 1] == y[:, 2] for y in blocks]
+            columns = [pa.array(bucket[np.concatenate(([0], cut))] if len(x) else [], pa.int64()), pa.array([y[o, :2].tobytes() for y, o in zip(blocks, own, strict=True)], pa.binary()), pa.array([y[~o].tobytes() for y, o in zip(blocks, own, strict=True)], pa.binary())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "alone", "grouped"])
+
         for b in slices(batches, 1024):
-            size = [len(x.as_buffer()) // 8 for x in b.column(1)]
-            h = np.frombuffer(b"".join(b.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(b.column(0).to_numpy(), size))], names=["h", "group"])
+            size = [len(x.as_buffer()) // 8 for x in b.column(2)]
+            h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
+            held.append(np.stack([h, np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)], axis=1))
+            weight += len(h)
+            if weight > 1_500_000:
+                yield flush()
+                weight = 0
+        yield flush()
 
-    shared = rows.select("group", "prefix").mapInArrow(keys, "h long, group long").groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-    open_ = spark.sparkContext.broadcast(filter_of(shared.select("h")))
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            x = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+            held.clear()
+            x = x[np.argsort(x[:, 0], kind="stable")]
+            first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0]))) if len(x) else np.zeros(0, np.int64)
+            out = [np.zeros(0, np.int64)] * 4
+            if len(x):
+                mark = mixed(x[:, 1].view(np.uint64))
+                open_ = np.minimum.reduceat(x[:, 2], first) != np.maximum.reduceat(x[:, 2], first)
+                marks = np.add.reduceat(mark, first), np.bitwise_xor.reduceat(mixed(mark ^ _MULTIPLY[0]), first)
+                out = [x[first[open_], 0], np.diff(np.append(first, len(x)))[open_], _signed(marks[0][open_]), _signed(marks[1][open_])]
+            return pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["h", "n", "mark", "other"])
+
+        for b in slices(batches, 64):
+            for bucket, alone, grouped in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    yield close()
+                    now = bucket
+                alone = np.frombuffer(alone, np.int64).reshape(-1, 2)
+                held += [np.concatenate((alone, alone[:, 1:]), axis=1), np.frombuffer(grouped, np.int64).reshape(-1, 3)]
+        yield close()
+
+    dealt = rows.select("id", "group", "prefix").mapInArrow(deal, "bucket long, alone binary, grouped binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    tiles_ = dealt.mapInArrow(shared, "h long, n long, mark long, other long")
+    # Hashes with the same documents make the same tile: one of them is enough.
+    open_ = spark.sparkContext.broadcast(filter_of(tiles_.groupBy("n", "mark", "other").agg(F.min("h").alias("h")).select("h")))
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "band", "own", "id", "n", "group", "bits"]
+        names = ["h", "id", "n", "group", "bits"]
         for b in slices(batches):
             out: list[list] = [[] for _ in names]
             for i, n, p, bits, g in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 p = np.frombuffer(p, np.uint64)
                 p = _signed(p[in_filter(open_.value, p)]).tolist()
-                if p:
-                    own, m = band(n, percent), 2 * len(p)
-                    for o, x in zip(out, (p + p, [own] * len(p) + [own + 1] * len(p), [True] * len(p) + [False] * len(p), [i] * m, [n] * m, [g] * m, [bits] * m), strict=True):
-                        o += x
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                for o, x in zip(out, (p, [i] * len(p), [n] * len(p), [g] * len(p), [bits] * len(p)), strict=True):
+                    o += x
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
 
-    tiled = rows.select("id", "n", "prefix", "bits", "group").mapInArrow(tiles, "h long, band int, own boolean, id long, n long, group long, bits binary")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "h", "band").sortWithinPartitions("h", "band")
+    tiled = rows.select("id", "n", "prefix", "bits", "group").mapInArrow(tiles, "h long, id long, n long, group long, bits binary")
+    tiled = tiled.repartition(parts, "h").sortWithinPartitions("h")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tile = None, [[] for _ in range(5)]
+        now, tile = None, [[] for _ in range(4)]
         made: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
@@ -266,12 +369,11 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
             return out
 
         for b in slices(batches, 4096):
-            h, bands, own, ids, n, group, bits = (b.column(c).to_pylist() for c in range(7))
-            for key, *rest in zip(zip(h, bands, strict=True), ids, n, group, own, bits, strict=True):
+            for key, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if key != now:
                     if len(tile[0]) > 1:
                         made.update(tile_pairs(*tile, percent))
-                    now, tile = key, [[] for _ in range(5)]
+                    now, tile = key, [[] for _ in range(4)]
                 for column, x in zip(tile, rest, strict=True):
                     column.append(x)
             if len(made) > 100_000:
@@ -304,7 +406,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
 
     groups = heads.select("id").join(components(near), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
     candidates = checkpointed(_tiles(docs, checkpointed(groups), frequent, width, percent))
-    links = near.union(linked(candidates, docs, width, percent)).union(copies)
+    links = near.union(linked_in_tiles(candidates, docs, one.groupBy("id").agg(F.max("n").alias("n")), width, percent)).union(copies)
     links = checkpointed(links)
     label = components(links)
     count = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
