@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
@@ -7,13 +8,14 @@ from lineloom.plans import crossref, search
 from lineloom.sources import readers, writers
 
 
-def test_overlap_equals_nested_loop(spark):
+@pytest.mark.parametrize("width", [1, 3])
+def test_overlap_equals_nested_loop(spark, width):
     random.seed(1)
     make = lambda: [(i, random.randint(1, 12), random.randint(1, 9), random.randint(1, 12), random.randint(1, 9)) for i in range(150)]  # noqa: E731  many end before they start
     left, right = make(), make()
     a = spark.createDataFrame(left, "l int, a int, b int, c int, d int")
     b = spark.createDataFrame(right, "r int, e int, f int, g int, h int")
-    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh").select("l", "r").collect()
+    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", width=width).select("l", "r").collect()
     want = {(x[0], y[0]) for x in left for y in right if x[1:3] <= y[3:5] and x[3:5] >= y[1:3]}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     plan = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh")._jdf.queryExecution().toString()
