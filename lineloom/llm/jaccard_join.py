@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm._common import attach, checkpointed, slices
+from lineloom.llm._common import attach, checkpointed, slices, working
 from lineloom.llm.graph import components, filter_of, in_filter
 
 WIDTH, PERCENT = 5, 80
@@ -36,11 +36,13 @@ SEEDS = 8
 SKETCH_BITS, FREQUENT = 20, 4
 _CHUNKS = 16
 #: Bytes of prefixes that a bucket of hashes holds, about.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
+#: Documents of a tile that is not cut, and the most tiles that are.
+TILE_ROWS, MOST_LARGE = 4096, 100_000
 #: Bytes of sets that a block of documents has where pairs are decided, about.
 TILE_BYTES = 48 << 20
 #: Words whose hashes a worker keeps.
-CACHE = 400_000
+CACHE = 200_000
 _MULTIPLY = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -110,17 +112,17 @@ def least_overlap(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-def tile_pairs(ids: list[int], sizes: list[int], groups: list[int], bits: list[bytes], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller id first) of a tile that may be linked: of different groups, and in one band of sizes."""
+def tile_pairs(ids: list[int], sizes: list[int], groups: list[int], bits: list[bytes], percent: int, blocks: list[int] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller id first) of a tile that may be linked: of different groups, and of different blocks if there are any, and in one band of sizes."""
     order = sorted(range(len(ids)), key=sizes.__getitem__)
-    ids, sizes, groups, bits = ([x[i] for i in order] for x in (ids, sizes, groups, bits))
+    ids, sizes, groups, bits, blocks = ([x[i] for i in order] for x in (ids, sizes, groups, bits, blocks or range(len(ids))))
     n, low = len(ids), 0
     small = n <= 24
     width = np.array([len(x) for x in bits])
     place = np.zeros(n, np.int64)
     rows: dict[int, np.ndarray] = {}  # signatures of each width, those of twice the width folded
     if not small:
-        size, group, key = np.array(sizes), np.array(groups), np.array(ids)
+        size, group, key, part = np.array(sizes), np.array(groups), np.array(ids), np.array(blocks)
         for w in np.unique(width).tolist():
             of = np.flatnonzero(width == w)
             place[of] = np.arange(len(of))
@@ -130,13 +132,13 @@ def tile_pairs(ids: list[int], sizes: list[int], groups: list[int], bits: list[b
             low += 1
         if small:
             for j in range(low, i):
-                if groups[i] != groups[j] and ids[i] != ids[j]:
+                if groups[i] != groups[j] and ids[i] != ids[j] and blocks[i] != blocks[j]:
                     w = min(len(bits[i]), len(bits[j]))
                     apart = (folded(bits[i], w) ^ folded(bits[j], w)).bit_count()
                     if (sizes[i] + sizes[j] - apart) // 2 >= least_overlap(sizes[i] + sizes[j], percent):
                         yield (ids[i], ids[j]) if ids[i] < ids[j] else (ids[j], ids[i])
             continue
-        band = low + np.flatnonzero((group[low:i] != group[i]) & (key[low:i] != key[i]))
+        band = low + np.flatnonzero((group[low:i] != group[i]) & (key[low:i] != key[i]) & (part[low:i] != part[i]))
         for w in np.unique(width[band]).tolist():  # not above the width of i, as sizes ascend
             mine = np.frombuffer(folded(bits[i], w).to_bytes(w, "little"), np.uint64)
             alike = band[width[band] == w]
@@ -157,15 +159,17 @@ def describe(df: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     odd = mixed(np.arange(1, SEEDS + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard_join", _hashes.clear)
         count = np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in slices(batches):
-            sizes, hashes, seeds = [], [], []
+            sizes, hashes, seeds, all_ = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = shingles(t, width)
                 sizes.append(len(s))
                 hashes.append(xxhash.xxh3_128_digest(s.tobytes()))
                 seeds.append(_signed((s[None, :] * odd[:, None]).min(1)) if len(s) else None)
-                np.add.at(count, s & np.uint64(len(count) - 1), 1)
+                all_.append(s)
+            count += np.bincount((np.concatenate(all_) & np.uint64(len(count) - 1)).astype(np.int64), minlength=len(count)).astype(np.uint32)
             yield row(b.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
         parts = [c.tobytes() for c in np.minimum(count, 65535).astype("<u2").reshape(_CHUNKS, -1)]
         yield row(pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.binary()), pa.nulls(_CHUNKS, pa.list_(pa.int64())), pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary()))
@@ -196,6 +200,7 @@ def sets_of(df: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     wanted = df.sparkSession.sparkContext.broadcast(filter_of(ids.select(F.xxhash64("id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard_join", _hashes.clear)
         for b in slices(batches):
             keep = np.flatnonzero(in_filter(wanted.value, b.column(2).to_numpy().view(np.uint64)))
             b = b.take(pa.array(keep))
@@ -268,12 +273,30 @@ def linked_in_tiles(pairs: DataFrame, df: DataFrame, sizes: DataFrame, width: in
     return met.groupBy(*tile).cogroup(sets.select("id", "hashes", *other).groupBy(*other)).applyInArrow(solve, "a long, b long")
 
 
+def _tally(x: np.ndarray) -> np.ndarray:
+    """Rows (hash, id, group) as (hash, smallest group, largest, documents, two marks of the set of documents)."""
+    mark = mixed(np.ascontiguousarray(x[:, 1]).view(np.uint64))
+    other = mixed(mark ^ _MULTIPLY[0])
+    return np.stack([x[:, 0], x[:, 2], x[:, 2], np.ones(len(x), np.int64), _signed(mark), _signed(other)], axis=1)
+
+
+def _tallied(x: np.ndarray) -> np.ndarray:
+    """Tallies with those of one hash made one, by hash."""
+    if not len(x):
+        return x
+    x = x[np.argsort(np.ascontiguousarray(x[:, 0]).view(np.uint64), kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0])))
+    over = lambda f, i: f.reduceat(np.ascontiguousarray(x[:, i]), first)
+    return np.stack([x[first, 0], over(np.minimum, 1), over(np.maximum, 2), over(np.add, 3), over(np.add, 4), over(np.bitwise_xor, 5)], axis=1)
+
+
 def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
     """Candidate pairs (a, b) between documents of different groups. ``groups``: (id, group, set_hash) of the documents that take part."""
     spark = df.sparkSession
     late = spark.sparkContext.broadcast(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard_join", _hashes.clear)
         for b in slices(batches):
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
             columns = [b.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([prefix(s, percent, late.value).tobytes() if len(s) else b"" for s in found], pa.binary()), pa.array([signature(s) if len(s) else b"" for s in found], pa.binary())]
@@ -294,22 +317,28 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
 
         def flush() -> pa.RecordBatch:
             x = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
-            bucket = (x[:, 0].view(np.uint64) >> np.uint64(64 - bits_)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            x, bucket = x[order], bucket[order]
-            cut = np.flatnonzero(np.diff(bucket)) + 1
-            blocks = np.split(x, cut) if len(x) else []
-            own = [y[:, 1] == y[:, 2] for y in blocks]
-            columns = [pa.array(bucket[np.concatenate(([0], cut))] if len(x) else [], pa.int64()), pa.array([y[o, :2].tobytes() for y, o in zip(blocks, own, strict=True)], pa.binary()), pa.array([y[~o].tobytes() for y, o in zip(blocks, own, strict=True)], pa.binary())]
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["bucket", "alone", "grouped"])
+            x = x[np.argsort(x[:, 0].view(np.uint64), kind="stable")]
+            first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0]))) if len(x) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(x)))
+            one = x[first[n == 1]]
+            own = one[:, 1] == one[:, 2]
+            # what a task has of one hash leaves it as one row
+            tables = one[own][:, :2], one[~own], _tallied(_tally(x[np.repeat(n > 1, n)]))
+            marks = [(t[:, 0].view(np.uint64) >> np.uint64(64 - bits_)).astype(np.int64) for t in tables]
+            buckets = np.unique(np.concatenate(marks))
+            columns = [pa.array(buckets)]
+            for t, m in zip(tables, marks, strict=True):
+                cut = np.searchsorted(m, np.append(buckets, 1 << 62))
+                columns.append(pa.array([t[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "alone", "grouped", "many"])
 
         for b in slices(batches, 1024):
             size = [len(x.as_buffer()) // 8 for x in b.column(2)]
             h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
             held.append(np.stack([h, np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)], axis=1))
             weight += len(h)
-            if weight > 1_500_000:
+            if weight > 500_000:
                 yield flush()
                 weight = 0
         yield flush()
@@ -318,49 +347,51 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
         now, held = None, []
 
         def close() -> pa.RecordBatch:
-            x = np.concatenate(held) if held else np.zeros((0, 3), np.int64)
+            x = _tallied(np.concatenate(held)) if held else np.zeros((0, 6), np.int64)
             held.clear()
-            x = x[np.argsort(x[:, 0], kind="stable")]
-            first = np.flatnonzero(np.concatenate(([True], x[1:, 0] != x[:-1, 0]))) if len(x) else np.zeros(0, np.int64)
-            out = [np.zeros(0, np.int64)] * 4
-            if len(x):
-                mark = mixed(x[:, 1].view(np.uint64))
-                open_ = np.minimum.reduceat(x[:, 2], first) != np.maximum.reduceat(x[:, 2], first)
-                marks = np.add.reduceat(mark, first), np.bitwise_xor.reduceat(mixed(mark ^ _MULTIPLY[0]), first)
-                out = [x[first[open_], 0], np.diff(np.append(first, len(x)))[open_], _signed(marks[0][open_]), _signed(marks[1][open_])]
-            return pa.RecordBatch.from_arrays([pa.array(o) for o in out], names=["h", "n", "mark", "other"])
+            x = x[x[:, 1] != x[:, 2]]
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, i])) for i in (0, 3, 4, 5)], names=["h", "n", "mark", "other"])
 
         for b in slices(batches, 64):
-            for bucket, alone, grouped in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, alone, grouped, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if bucket != now:
                     yield close()
                     now = bucket
                 alone = np.frombuffer(alone, np.int64).reshape(-1, 2)
-                held += [np.concatenate((alone, alone[:, 1:]), axis=1), np.frombuffer(grouped, np.int64).reshape(-1, 3)]
+                held += [_tally(np.concatenate((alone, alone[:, 1:]), axis=1)), _tally(np.frombuffer(grouped, np.int64).reshape(-1, 3)), np.frombuffer(many, np.int64).reshape(-1, 6)]
         yield close()
 
-    dealt = rows.select("id", "group", "prefix").mapInArrow(deal, "bucket long, alone binary, grouped binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = rows.select("id", "group", "prefix").mapInArrow(deal, "bucket long, alone binary, grouped binary, many binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     tiles_ = dealt.mapInArrow(shared, "h long, n long, mark long, other long")
     # Hashes with the same documents make the same tile: one of them is enough.
-    open_ = spark.sparkContext.broadcast(filter_of(tiles_.groupBy("n", "mark", "other").agg(F.min("h").alias("h")).select("h")))
+    tiles_ = checkpointed(tiles_.groupBy("n", "mark", "other").agg(F.min("h").alias("h")).select("h", "n"))
+    open_ = spark.sparkContext.broadcast(filter_of(tiles_.select("h")))
+    # Large tiles are cut into pairs of blocks. The limit grows so that there are MOST_LARGE of them at most.
+    limit = max(TILE_ROWS, size // 8 // MOST_LARGE)
+    large = spark.sparkContext.broadcast({r["h"]: -(-r["n"] // limit) for r in tiles_.where(F.col("n") > limit).collect()})
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "id", "n", "group", "bits"]
+        names = ["h", "x", "y", "id", "n", "group", "bits", "block"]
         for b in slices(batches):
             out: list[list] = [[] for _ in names]
             for i, n, p, bits, g in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
                 p = np.frombuffer(p, np.uint64)
                 p = _signed(p[in_filter(open_.value, p)]).tolist()
-                for o, x in zip(out, (p, [i] * len(p), [n] * len(p), [g] * len(p), [bits] * len(p)), strict=True):
+                made = []
+                for h in p:
+                    k = large.value.get(h, 1)
+                    own = hash(i) % k
+                    made += [(h, min(own, j), max(own, j), i, n, g, bits, own) for j in range(k)]
+                for o, x in zip(out, zip(*made), strict=False):
                     o += x
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
 
-    tiled = rows.select("id", "n", "prefix", "bits", "group").mapInArrow(tiles, "h long, id long, n long, group long, bits binary")
-    tiled = tiled.repartition(parts, "h").sortWithinPartitions("h")
+    tiled = rows.select("id", "n", "prefix", "bits", "group").mapInArrow(tiles, "h long, x int, y int, id long, n long, group long, bits binary, block int")
+    tiled = tiled.repartition(parts, "h", "x", "y").sortWithinPartitions("h", "x", "y")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tile = None, [[] for _ in range(4)]
+        now, tile = None, [[] for _ in range(5)]
         made: set[tuple[int, int]] = set()
 
         def flush() -> pa.RecordBatch:
@@ -369,17 +400,17 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
             return out
 
         for b in slices(batches, 4096):
-            for key, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if key != now:
+            for h, x, y, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, x, y) != now:
                     if len(tile[0]) > 1:
-                        made.update(tile_pairs(*tile, percent))
-                    now, tile = key, [[] for _ in range(4)]
+                        made.update(tile_pairs(*tile[:4], percent, tile[4] if now[1] < now[2] else None))
+                    now, tile = (h, x, y), [[] for _ in range(5)]
                 for column, x in zip(tile, rest, strict=True):
                     column.append(x)
             if len(made) > 100_000:
                 yield flush()
         if len(tile[0]) > 1:
-            made.update(tile_pairs(*tile, percent))
+            made.update(tile_pairs(*tile[:4], percent, tile[4] if now[1] < now[2] else None))
         yield flush()
 
     return tiled.mapInArrow(solve, "a long, b long").distinct()

@@ -55,6 +55,8 @@ def test_components_equal_brute_force(spark, monkeypatch, seed, seeds, frequent)
     monkeypatch.setattr(jj, "SEEDS", seeds)  # with few seeds most links are left to the tiles
     monkeypatch.setattr(jj, "FREQUENT", frequent)
     monkeypatch.setattr(jj, "TILE_BYTES", 3000)
+    if seed > 1:
+        monkeypatch.setattr(jj, "TILE_ROWS", 7)
     rows = near_copies(260, seed) + [(1000 + i, t) for i, t in enumerate(["A B c d", "a b C d", "a b c d e", "", "one"])]
     component, size = brute(rows)
     got = jj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
