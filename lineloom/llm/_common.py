@@ -51,6 +51,19 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def working(owner: str, release: Callable[[], object] = lambda: None) -> None:
+    """Tell that a task of an operator starts in this Python process; what other operators keep for later tasks is dropped.
+
+    Workers outlive tasks, so without this the caches of all operators of a pipeline would add up.
+    """
+    for name in [n for n in _held if n != owner]:
+        _held.pop(name)()
+    _held[owner] = release
+
+
 def hidden(df: DataFrame) -> DataFrame:
     """``df`` with its columns named _c0, _c1, .., so that an operator's own names can't clash with them."""
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
@@ -61,10 +74,11 @@ def place(df: DataFrame, column: str) -> str:
     return f"_c{next(i for i, c in enumerate(df.columns) if c.lower() == column.lower())}"
 
 
-def with_columns(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], source: str) -> DataFrame:
+def with_columns(df: DataFrame, make: Callable[[], Callable], fields: list[T.StructField], source: str, release: Callable[[], object] = lambda: None) -> DataFrame:
     """Add ``fields``, computed in Arrow batches from column ``source``; input columns of the same names are replaced.
 
-    ``make()`` is called once in each task and returns a function from a list of values to lists of values.
+    ``make()`` is called once in each task and returns a function from a list of values to lists of values. ``release``
+    drops what it keeps in the worker for later tasks.
     """
     names = {f.name.lower() for f in fields}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
@@ -74,6 +88,7 @@ def with_columns(df: DataFrame, make: Callable[[], Callable], fields: list[T.Str
     labels = [f.name for f in kept] + [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working(make.__module__, release)
         work = make()
         for part in slices(batches):
             made = work(part.column(at).to_pylist())

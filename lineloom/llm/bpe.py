@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from lineloom.llm._common import attach, with_columns
 
-CACHE = 400_000
+CACHE = 200_000
 #: White space of Unicode, as the vocabulary's pre-tokenizer sees it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: The pre-token pattern of byte-level BPE vocabularies.
@@ -161,7 +161,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", packe
         return lambda texts: ([np.frombuffer(bpe.encode(t), "<u4").astype(np.int32) for t in texts],)
 
     kind = T.BinaryType() if packed else T.ArrayType(T.IntegerType(), False)
-    return with_columns(df, make, [T.StructField(ids, kind, False)], text)
+    return with_columns(df, make, [T.StructField(ids, kind, False)], text, vocabulary.cache_clear)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -175,4 +175,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             return lambda rows: ([bpe.decode(x) for x in rows],)
         return lambda rows: ([bpe.decode(np.array(x or [], "<u4").tobytes()) for x in rows],)
 
-    return with_columns(df, make, [T.StructField(text, T.StringType(), False)], ids)
+    return with_columns(df, make, [T.StructField(text, T.StringType(), False)], ids, vocabulary.cache_clear)

@@ -28,7 +28,7 @@ ORDER = 4
 #: Bounds of the training sample of each language: documents, and bytes of their texts.
 TRAIN_DOCS, TRAIN_BYTES = 400, 600_000
 #: Bytes of memory for the costs of tokens that a worker keeps.
-CACHE_BYTES = 60_000_000
+CACHE_BYTES = 40_000_000
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -214,7 +214,7 @@ class _Scorer:
             new = set().union(*split)
         words = sorted(new)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        parts, block = [self.costs], max(1000, 200_000 // len(names))
+        parts, block = [self.costs], max(1000, 40_000 // len(names))
         parts += [self.model.costs(words[i : i + block]) for i in range(0, len(words), block)]
         self.costs = np.concatenate(parts)
         label, score = [], []
@@ -246,4 +246,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", label: str = "lang_
             _models[m.name] = _Scorer(m)
         return _models[m.name]
 
-    return with_columns(df, make, [T.StructField(label, T.StringType(), False), T.StructField(score, T.DoubleType(), False)], text)
+    return with_columns(df, make, [T.StructField(label, T.StringType(), False), T.StructField(score, T.DoubleType(), False)], text, _models.clear)

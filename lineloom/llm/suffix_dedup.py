@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm._common import attach, checkpointed, hidden, place, slices
+from lineloom.llm._common import attach, checkpointed, hidden, place, slices, working
 from lineloom.llm.graph import filter_of, in_filter
 from lineloom.llm.jaccard_join import mixed
 
@@ -269,6 +269,7 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     texts = df.select(F.col(text).alias("text")).where(F.octet_length("text") >= length)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("suffix_dedup")
         for b in slices(batches):
             data = [_encoded(t) for t in b.column(0).to_pylist()]
             s = Stretches(data, length)

@@ -169,4 +169,4 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
     has the name is replaced; all others stay as they are.
     """
     attach(df.sparkSession)
-    return with_columns(df, lambda: lambda texts: (counter(path).count_texts(texts),), [T.StructField(out, T.LongType(), False)], text)
+    return with_columns(df, lambda: lambda texts: (counter(path).count_texts(texts),), [T.StructField(out, T.LongType(), False)], text, counter.cache_clear)
