@@ -109,6 +109,16 @@ def attribution(author: Column, work: Column, number: Column, book: Column, labe
     return F.format_string("%s, %s %s on %s (%s)", author, work, number, book, label)
 
 
+def reference_box(number: Column, is_cross: Column, author: Column, book: Column, own_label: Column, cross_label: Column) -> Column:
+    """struct(class, number, tooltip) of a reference: its class by kind and sign, and the label of the crossing range
+    for cross references, else that of its own interval. Negative numbers are the second author's."""
+    second = number < 0
+    css = F.concat_ws(" ", F.lit("ref"), F.when(is_cross, "cross-ref"), F.when(second, "second"))
+    label = F.when(is_cross, cross_label).otherwise(own_label)
+    n = F.abs(number).cast("string")
+    return F.struct(css.alias("css"), n.alias("number"), attribution(author, F.when(second, "Sermon").otherwise("Homily"), n, book, label).alias("tooltip"))
+
+
 def blank_reference(ref: Column) -> Column:
     """References that only name a kind of text are blank."""
     return F.when(ref.isNull() | ref.contains("Homily") | ref.contains("Sermon") | (ref == "Introduction"), "").otherwise(ref)

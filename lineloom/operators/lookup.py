@@ -23,6 +23,12 @@ def first_of(df: DataFrame, lookups: Sequence[tuple[DataFrame, str, str]], value
     return df.withColumn(out, F.coalesce(*found, default)).drop(*[f"_{c}{i}" for c in "kv" for i in range(len(lookups))])
 
 
+def list_or_empty(df: DataFrame, items: DataFrame, key: str, value: str, order: str, out: str) -> DataFrame:
+    """The ordered list of a key's items; an empty list for a key without any."""
+    lists = items.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(out))
+    return df.join(lists, key, "left").withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+
+
 def flagged(df: DataFrame, members: DataFrame, key: Sequence[str], out: str = "flag") -> DataFrame:
     """Whether the key is among the members. Repeated members don't repeat rows."""
     return df.join(members.select(*key).distinct().withColumn("_in", F.lit(True)), list(key), "left").withColumn(out, F.coalesce("_in", F.lit(False))).drop("_in")

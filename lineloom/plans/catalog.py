@@ -197,6 +197,39 @@ def composite_keys(spark, sf_dir):
     return n.select("n_nationkey", key.alias("key"), sentence.alias("sentence"), ref.alias("ref"), refs.split_key(key)["second"].alias("book"))
 
 
+@query(
+    """SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN nullif(n_nationkey, 0) WHEN n_nationkey % 3 = 1 THEN CASE WHEN n_nationkey >= 5 THEN n_nationkey - 3 WHEN n_nationkey = 4 THEN 1 END ELSE n_nationkey END::INT AS number,
+       CASE n_name WHEN 'FRANCE' THEN 'Fr' WHEN 'CHINA' THEN 'Cn' ELSE n_name END AS short, CASE WHEN n_nationkey BETWEEN 1 AND 7 THEN 1 END::INT AS bucket FROM nation"""
+)
+def node_numbers(spark, sf_dir):
+    """F12, F17, P17, R8"""
+    k = F.col("n_nationkey")
+    r = numerals.to_roman(k)
+    attribute, node_id, text = F.when(k % 3 == 0, r), F.when(k % 3 == 1, F.concat(F.lit("iii."), F.lower(r))).otherwise("x.y1"), F.concat(F.lit("HOMILY "), r, F.lit(". On"))
+    text = F.when(k % 3 == 2, text).otherwise("none")
+    bucket = refs.file_bucket(F.lit("sermons_01_11.htm"), k, 7)
+    return table(spark, sf_dir, "nation").select("n_nationkey", refs.node_number(attribute, node_id, text).alias("number"), refs.abbreviation(F.col("n_name"), {"FRANCE": "Fr", "CHINA": "Cn"}).alias("short"), bucket.alias("bucket"))
+
+
+@query(
+    """SELECT c_custkey, 'ref' || CASE WHEN c_custkey % 2 = 0 THEN ' cross-ref' ELSE '' END || CASE WHEN c_acctbal < 0 THEN ' second' ELSE '' END AS css,
+       'A, ' || CASE WHEN c_acctbal < 0 THEN 'Sermon ' ELSE 'Homily ' END || c_custkey || ' on ' || c_mktsegment || ' (' || CASE WHEN c_custkey % 2 = 0 THEN '2:2' ELSE '1:1' END || ')' AS tooltip FROM customer"""
+)
+def reference_boxes(spark, sf_dir):
+    """F16, F19, R3"""
+    k = F.col("c_custkey")
+    box = markup.reference_box(F.when(F.col("c_acctbal") < 0, -k).otherwise(k), k % 2 == 0, F.lit("A"), F.col("c_mktsegment"), F.lit("1:1"), F.lit("2:2"))
+    return table(spark, sf_dir, "customer").select("c_custkey", box.alias("b")).select("c_custkey", "b.css", "b.tooltip")
+
+
+@query("SELECT n_nationkey, coalesce(string_agg(s_name, '|' ORDER BY s_suppkey), '') AS names, count(s_name) AS n FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY n_nationkey")
+def list_or_empty(spark, sf_dir):
+    """J3, J11"""
+    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
+    out = lookup.list_or_empty(table(spark, sf_dir, "nation"), s, "n_nationkey", "s_name", "s_suppkey", "names")
+    return out.select("n_nationkey", F.array_join("names", "|").alias("names"), F.size("names").cast("long").alias("n"))
+
+
 # --- unions, unpivots, precedence -------------------------------------------------------------------------------
 
 
