@@ -54,8 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding them gives its text again."""
-    path = vocabulary_path("byte_bpe_50k.json")
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    done = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary_path("byte_bpe_50k.json"))
     return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -59,8 +61,14 @@ def working(owner: str, release: Callable[[], object] = lambda: None) -> None:
 
     Workers outlive tasks, so without this the caches of all operators of a pipeline would add up.
     """
-    for name in [n for n in _held if n != owner]:
+    others = [n for n in _held if n != owner]
+    for name in others:
         _held.pop(name)()
+    if others:  # give the memory back, not only to this process
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
     _held[owner] = release
 
 

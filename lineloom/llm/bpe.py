@@ -176,3 +176,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
         return lambda rows: ([bpe.decode(np.array(x or [], "<u4").tobytes()) for x in rows],)
 
     return with_columns(df, make, [T.StructField(text, T.StringType(), False)], ids, vocabulary.cache_clear)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that a task needs one Python worker: adds array<int> ``ids`` and ``decoded``."""
+    attach(df.sparkSession)
+
+    def make():
+        bpe = vocabulary(path)
+
+        def work(texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
+            packed = [bpe.encode(t) for t in texts]
+            return [np.frombuffer(p, "<u4").astype(np.int32) for p in packed], [bpe.decode(p) for p in packed]
+
+        return work
+
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)]
+    return with_columns(df, make, fields, text, vocabulary.cache_clear)
