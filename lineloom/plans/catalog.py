@@ -315,7 +315,7 @@ def having_multi(spark, sf_dir):
 )
 def range_explode(spark, sf_dir):
     """A range that runs backwards gives nothing."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 20 = 0").select((F.col("o_orderkey") % 1000).alias("k"), (F.col("o_orderkey") % 50).cast("int").alias("a"), (F.col("o_orderkey") % 50 + F.col("o_custkey") % 7 - 2).cast("int").alias("b"))
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 1000).alias("k"), (F.col("o_orderkey") % 50).cast("int").alias("a"), (F.col("o_orderkey") % 50 + F.col("o_custkey") % 7 - 2).cast("int").alias("b"))
     return grouping.joined(reshape.range_rows(o, "a", "b", "verse"), ["verse"], ["k"], "k", ",", "numbers").select("verse", "n", "numbers")
 
 

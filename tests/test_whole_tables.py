@@ -1,7 +1,6 @@
 """Queries against the whole of their tables, by SQL or Python of the tests' own."""
 
 import pandas as pd
-import pytest
 
 from lineloom.plans import catalog
 from tests.oracle import both
@@ -22,3 +21,8 @@ def test_all_orders_meet_suppliers(spark, small):
     b = [(k, *span(k, x)) for k, x in zip(s["s_suppkey"].tolist(), s["s_nationkey"].tolist(), strict=True)]
     want = sorted((i, j) for i, p, q in a for j, x, y in b if p <= y and q >= x)
     assert sorted((r["a_id"], r["b_id"]) for r in catalog.interval_overlap(spark, small).collect()) == want
+
+
+def test_all_orders_are_exploded(spark, small):
+    ours, theirs = both(spark, small, catalog.range_explode, whole("range_explode", (" WHERE o_orderkey % 20 = 0", "")))
+    assert ours == theirs
