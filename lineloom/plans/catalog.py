@@ -250,7 +250,7 @@ SELECT l_orderkey, l_linenumber, kind, no, name FROM long JOIN names USING (kind
 )
 def unpivot_lookup(spark, sf_dir):
     """E1, J1"""
-    wide = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("supplier"))
+    wide = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("part"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("supplier"))
     cells = reshape.long_form(wide, ["l_orderkey", "l_linenumber"], ["part", "supplier"], "kind", "no")
     parts = table(spark, sf_dir, "part").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("no"), F.col("p_name").alias("name"))
     suppliers = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("no"), F.col("s_name").alias("name"))

@@ -43,3 +43,8 @@ def test_points_in_any_document(spark, small, tmp_path):
     n.assign(n_nationkey=n["n_nationkey"] + 100).to_parquet(tmp_path / "nation.parquet", index=False)
     ours, theirs = both(spark, str(tmp_path), catalog.canon_view, whole("canon_view", (" WHERE doc_id < 50", "")))
     assert ours == theirs and any("not available" not in r for r in ours)
+
+
+def test_all_lines_are_unpivoted(spark, small):
+    ours, theirs = both(spark, small, catalog.unpivot_lookup, whole("unpivot_lookup", (" WHERE l_linenumber <= 3", "")))
+    assert ours == theirs
