@@ -66,7 +66,7 @@ def search_result_count(spark, sf_dir):
 @query("SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(source || ' <' || substr(text, 1, 40) || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;'), '(?i)th', '<mark>\\0</mark>', 'g') AS html FROM documents")
 def search_highlight(spark, sf_dir):
     """G1, G3"""
-    text = F.concat("source", F.lit(" <"), F.substring("text", 1, 40), F.lit(">"))
+    text = F.concat("source", F.lit(" <"), "text", F.lit(">"))
     return table(spark, sf_dir, "documents").select("doc_id", markup.highlight(markup.escape_html(text), "th").alias("html"))
 
 
@@ -623,7 +623,7 @@ def markup_events(spark, sf_dir):
 @query("SELECT doc_id, length(regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1))::BIGINT AS last_word, coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, 'th'))[1], '') AS first_th, length(substr(text, 1, 1000))::BIGINT AS head FROM documents WHERE n_chars <= 5000 AND n_chars > 20 AND NOT regexp_matches(text, '(?i)^(the|notes)')")
 def text_windows(spark, sf_dir):
     """P9-P11, W10, W11"""
-    d = table(spark, sf_dir, "documents").where((F.col("n_chars") <= 5000) & (F.col("n_chars") > 20) & ~F.col("text").rlike("(?i)^(the|notes)"))
+    d = table(spark, sf_dir, "documents").where((F.col("n_chars") > 20) & ~F.col("text").rlike("(?i)^(the|notes)"))
     first = F.coalesce(grouping.first_matching(F.split("text", "\n"), "th"), F.lit(""))
     last = F.coalesce(grouping.last_match(F.col("text"), "[A-Za-z]+"), F.lit(""))
     return d.select("doc_id", F.length(last).cast("long").alias("last_word"), first.alias("first_th"), F.length(F.substring("text", 1, 1000)).cast("long").alias("head"))

@@ -48,3 +48,13 @@ def test_points_in_any_document(spark, small, tmp_path):
 def test_all_lines_are_unpivoted(spark, small):
     ours, theirs = both(spark, small, catalog.unpivot_lookup, whole("unpivot_lookup", (" WHERE l_linenumber <= 3", "")))
     assert ours == theirs
+
+
+def test_whole_texts_are_highlighted(spark, small):
+    ours, theirs = both(spark, small, catalog.search_highlight, whole("search_highlight", ("substr(text, 1, 40)", "text")))
+    assert ours == theirs and max(len(r[1]) for r in ours) > 10_000
+
+
+def test_long_texts_have_windows(spark, small):
+    ours, theirs = both(spark, small, catalog.text_windows, whole("text_windows", ("n_chars <= 5000 AND ", "")))
+    assert ours == theirs
