@@ -6,7 +6,7 @@ and dot disguises; each keeps, for every character it writes, the stretch of sou
 run on the normalised text and their spans are mapped back; one that no base span of its kind holds is added. Base
 spans always stay.
 
-Texts without any sign of a disguise are not normalised. Offsets are code points, ends exclusive.
+Texts that no transducer changes are not normalised. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -55,13 +55,13 @@ _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ ,-]+)?(?:{_ANY_DIGIT_WORD}|[0-9])(?
 _SPELLED_PART = re.compile(r"(?i)[^\W\d_]+|[0-9]")
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
 _AT_WORDS = ("at", "arroba", "arobase")
-_BRACKET_AT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{'|'.join(_AT_WORDS)}|@)\s*[\])}}>]\s*")
-_BRACKET_DOT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:{'|'.join(_DOT_WORDS)}|\.)\s*[\])}}>]\s*")
+# White space before a bracket is entered at its first character only, so long stretches of it take linear time.
+_BRACKET_AT = re.compile(rf"(?i)(?:(?<!\s)\s+)?[\[({{<]\s*(?:{'|'.join(_AT_WORDS)}|@)\s*[\])}}>]\s*")
+_BRACKET_DOT = re.compile(rf"(?i)(?:(?<!\s)\s+)?[\[({{<]\s*(?:{'|'.join(_DOT_WORDS)}|\.)\s*[\])}}>]\s*")
 _BARE_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{'|'.join(_DOT_WORDS)})\s+(?=[A-Za-z0-9])")
 _SAID_DOT = ""
 _BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])\s+(?:{'|'.join(_AT_WORDS)})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_SAID_DOT})")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+@\s*(?=[A-Za-z0-9-]+[.{_SAID_DOT}])|(?<=[A-Za-z0-9._%+-])@\s+(?=[A-Za-z0-9-]+[.{_SAID_DOT}])")
-_BRACKETS = re.compile(r"[\[({<]\s*(?:@|\.|[A-Za-z]{2,7})\s*[\])}>]")
 
 
 def _look_alikes() -> dict[str, str]:
@@ -162,15 +162,14 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
 
 
 def disguised(text: str) -> bool:
-    """Whether a transducer might change the text in a way that matters."""
-    if not text.isascii() and _LOOK_ALIKE.search(text):
+    """Whether a transducer changes the text: the first one that does matches the text as it is, so their own patterns decide."""
+    if not text.isascii() and (_SAID_DOT in text or _LOOK_ALIKE.search(text)):
         return True
-    low = text.lower()
-    if any(w in low for w in _DOT_WORDS) and any(f" {w} " in low for w in _DOT_WORDS):
+    if "@" in text and _SPACED_AT.search(text):
         return True
-    if " @" in text or "@ " in text or any(c in text for c in "[({<") and _BRACKETS.search(text):
+    if any(c in text for c in "[({<") and (_BRACKET_AT.search(text) or _BRACKET_DOT.search(text)):
         return True
-    return sum(map(low.count, _WORD_DIGIT)) >= 4 and bool(_SPELLED.search(low))
+    return bool(_BARE_DOT.search(text) or _SPELLED.search(text))  # _BARE_AT needs a dot that another one wrote
 
 
 def normalise(text: str) -> Aligned:

@@ -62,6 +62,28 @@ def test_long_texts_take_linear_time():
         pii.spans(t)
 
 
+@pytest.mark.parametrize(
+    "text,kind,part",
+    [
+        ("Call +1 five five five 010 9999", "phone", "+1 five five five 010 9999"),
+        ("joe at example\ndot com", "email", "joe at example\ndot com"),
+        ("joe@\texample.com", "email", "joe@\texample.com"),
+    ],
+)
+def test_few_words_and_any_white_space(text, kind, part):
+    at = text.index(part)
+    assert pii.spans(text) == [(kind, at, at + len(part), False)]
+
+
+def test_texts_that_are_not_normalised_would_not_change(documents):
+    random.seed(4)
+    parts = ["one", "Two", "fünf", "ſix", "plus", "dot", "POİNT", "at", "@", ".", "[", ")", "<", " ", " ", "\n", "\t", "\x1c", "\u2003", ",", "-", "1", "a", "com", "\ue000", "е", "\u200b"]
+    texts = [r["text"] for r in documents.collect()] + ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(50_000)]
+    assert [t for t in texts if t and not pii.disguised(t) and pii.normalise(t).text != t] == []
+    for t in (" " * 300_000 + "(", "1 2" + " " * 300_000, "1 2(" + "\n" * 300_000 + "x"):
+        pii.spans(t)
+
+
 def test_pii_frames(odd, clashing, empty):
     for df in (odd, clashing):
         assert len(pii.find_personal_data(df).collect()) == df.count()
