@@ -136,6 +136,72 @@ def test_pages_equal_their_articles(spark, small):
         assert r["text"] == want and r["n_chars"] == len(want)
 
 
+P = "It is the kind of text that has all of the words which are in any language, and so it is taken to be the text of the page. " * 2
+WANT = f"T {P}Short one."
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f'<body><nav><a href=a>Home</a></nav><div class="no-sidebar"><h1>T</h1><p>{P}</p><p>Short one.</p></div></body>', WANT),
+        (f'<body><div class="has-sidebar"><h1>T</h1><p>{P}</p><p>Short one.</p></div><footer>The end of it</footer></body>', WANT),
+        (f'<body class="header-fixed"><div class="header-fixed"><h1>T</h1><p>{P}</p><p>Short one.</p></div></body>', WANT),
+        (f'<form id="all"><div><nav><a href=a>Home</a></nav><h1>T</h1><p>{P}</p><p>Short one.</p></div></form>', WANT),
+        (f'<body><aside><p>{P}</p></aside><article><h1>T</h1><p>{P}{P}</p></article></body>', f"T {P}{P}"),
+        (f'<body><article><h1>T</h1><p>{P}</p><p>Share this</p><p><a href=q>Read more</a></p><p>Tags: <a href=a>a</a>, <a href=b>b</a></p><p>Short one.</p><p>Tags: a, b</p></article></body>', WANT),
+        (f'<body><article><h1>T</h1><p>{P}</p><p>Short one.</p></article><div id="comments"><article class="comment"><p>{P * 9}</p></article></div></body>', WANT),
+        (f'<body><article><h1>T</h1><p>{P}</p><ul><li><a href=1>Another text of ours</a></li><li><a href=2>And one more</a></li></ul><p>Short one.</p></article></body>', WANT),
+        (f'<body><article><h1>T</h1><p>{P}</p><table><tr><td>A</td><td>1</td></tr></table><ul><li>one</li></ul></article><footer>x the of</footer></body>', f"T {P}A 1 one"),
+        ("<body><article><p>" + "日本語のテキスト。" * 40 + "</p></article></body>", "日本語のテキスト。" * 40),
+        ("<body><nav><a href=a>Home</a></nav><h1>T</h1><p>Few words.</p></body>", "T Few words."),
+    ],
+)
+def test_sections_are_evidence(page, want):
+    assert html_text.main_text(page) == " ".join(want.split())
+
+
+def test_teaser_article_does_not_hide_the_text():
+    got = html_text.main_text(f'<body><article class="teaser"><h3>Other</h3><p><a href=x>Read more</a></p></article><div>{"".join(f"<p>{P}</p>" for _ in range(7))}</div></body>')
+    assert got.count("It is the kind") == 14 and "Read more" not in got
+
+
+def bare(html):
+    """A page whose tags and classes say nothing of its sections, but for the footer."""
+    for tag in ("article", "nav"):
+        html = html.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+    return html
+
+
+def test_statistics_decide(spark, small, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right = [html_text.main_text(p) for p in pages]
+    same = lambda made: np.mean([a == b for a, b in zip(right, made, strict=True)])
+    assert same([html_text.main_text(bare(p)) for p in pages]) > 0.96
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "STOP_WORDS", frozenset())
+        assert same([html_text.main_text(p) for p in pages]) < 0.3
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "LINKS", 2)
+        assert same([html_text.main_text(bare(p)) for p in pages]) < 0.9
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "SHORT", 1)
+        assert same([html_text.main_text(bare(p)) for p in pages]) < 1
+
+
+def test_very_long_and_deep_pages():
+    assert html_text.main_text(f"<article>{f'<p>{P}</p>' * 20_000}</article>") == (P * 20_000).strip()
+    assert html_text.main_text("<div>x" * 50_000).count("x") == 50_000
+    assert html_text.main_text("<div class=ad>x" * 50_000) == ""
+
+
+def test_page_query_takes_odd_rows(spark, tmp_path):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE), (None, "v", f"<p>{P}</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(((r["page_id"] or 0, r["n_chars"], r["text"]) for r in QUERIES["op7_main_text"](spark, str(tmp_path)).collect()), key=str)
+    want = html_text.main_text(PAGE)
+    assert got == sorted([(1, 0, ""), (2, 0, ""), (3, len(want), want), (3, len(want), want), (0, len(P.strip()), P.strip())], key=str)
+
+
 def test_html_frames(clashing, empty):
     assert html_text.extract(clashing, "text", "spans").count() == clashing.count()
     assert html_text.extract(empty, "text", "main").count() == 0
