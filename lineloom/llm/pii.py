@@ -53,6 +53,8 @@ _WORD_DIGIT = {w: str(d) for d, words in enumerate(DIGIT_WORDS) for w in words}
 _ANY_DIGIT_WORD = "|".join(sorted(_WORD_DIGIT, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?i)(?<!\w)(?:plus[ ,-]+)?(?:{_ANY_DIGIT_WORD}|[0-9])(?:[ ,-]+(?:{_ANY_DIGIT_WORD}|[0-9])(?!\w)|[ ,]+(?:dot|point|punkt|punto)[ ,]+(?:{_ANY_DIGIT_WORD}|[0-9])(?!\w))+")
 _SPELLED_PART = re.compile(r"(?i)[^\W\d_]+|[0-9]")
+# One digit word beside digits that are not spelled.
+_BESIDE = re.compile(rf"(?i)(?<=[0-9][ -])(?:{_ANY_DIGIT_WORD})(?!\w)|(?<!\w)(?:{_ANY_DIGIT_WORD})(?=[ -][0-9])")
 _DOT_WORDS = ("dot", "punkt", "punto", "point")
 _AT_WORDS = ("at", "arroba", "arobase")
 # White space before a bracket is entered at its first character only, so long stretches of it take linear time.
@@ -61,6 +63,13 @@ _BRACKET_DOT = re.compile(rf"(?i)(?:(?<!\s)\s+)?[\[({{<]\s*(?:{'|'.join(_DOT_WOR
 _BARE_DOT = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s+(?:{'|'.join(_DOT_WORDS)})\s+(?=[A-Za-z0-9])")
 _SAID_DOT = ""
 _BARE_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9._%+-])\s+(?:{'|'.join(_AT_WORDS)})\s+(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_SAID_DOT})")
+# ``name at host.tld`` with a known end, unless the name is a word that goes before a place; fixed values.
+_ENDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|at|ch|it|nl"
+_NO_NAMES = "us|me|it|them|him|her|more|here|there|online|available|website|site|page|info|information|visit|found|is|are|was|be|and|or|look|see|read|out|up|free|today|now|live|store|shop|home|details|him|you|start|join"
+_PLAIN_AT = re.compile(rf"(?i)(?<![A-Za-z0-9._%+-])(?!(?:{_NO_NAMES})\s)([A-Za-z0-9._%+-]+)(\s+(?:{'|'.join(_AT_WORDS)})\s+)(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_ENDS})(?![A-Za-z0-9-]))")
+# ``name-at-host-dot-tld`` and the same with underscores.
+_DASHED = re.compile(rf"(?i)(?<=[A-Za-z0-9])([-_])(?:{'|'.join(_AT_WORDS)})\1[A-Za-z0-9]+(?:\1(?:{'|'.join(_DOT_WORDS)})\1[A-Za-z0-9]+)+")
+_DASHED_PART = re.compile(r"[A-Za-z0-9]+")
 _SPACED_AT = re.compile(rf"(?<=[A-Za-z0-9._%+-])\s+@\s*(?=[A-Za-z0-9-]+[.{_SAID_DOT}])|(?<=[A-Za-z0-9._%+-])@\s+(?=[A-Za-z0-9-]+[.{_SAID_DOT}])")
 
 
@@ -161,6 +170,18 @@ def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
+def _plain_at(m: re.Match) -> list[tuple[str, int, int]]:
+    return [*((c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[1])), ("@", m.start(2), m.end(2))]
+
+
+def _dashed(m: re.Match) -> list[tuple[str, int, int]]:
+    out = []
+    for n, w in enumerate(_DASHED_PART.finditer(m[0])):
+        a, b = m.start() + w.start(), m.start() + w.end()
+        out += [("@" if n == 0 else ".", a - 1, b + 1)] if n % 2 == 0 else [(c, a + i, a + i + 1) for i, c in enumerate(w[0])]
+    return out
+
+
 def disguised(text: str) -> bool:
     """Whether a transducer changes the text: the first one that does matches the text as it is, so their own patterns decide."""
     if not text.isascii() and (_SAID_DOT in text or _LOOK_ALIKE.search(text)):
@@ -169,18 +190,22 @@ def disguised(text: str) -> bool:
         return True
     if any(c in text for c in "[({<") and (_BRACKET_AT.search(text) or _BRACKET_DOT.search(text)):
         return True
-    return bool(_BARE_DOT.search(text) or _SPELLED.search(text))  # _BARE_AT needs a dot that another one wrote
+    # _BARE_AT needs a dot that another one wrote
+    return any(p.search(text) for p in (_BARE_DOT, _SPELLED, _BESIDE, _DASHED, _PLAIN_AT))
 
 
 def normalise(text: str) -> Aligned:
     out = Aligned(text)
     out.rewrite(_LOOK_ALIKE, lambda m: [(LOOK_ALIKES[m[0]], m.start(), m.end())])
     out.rewrite(_SPELLED, _digits)
+    out.rewrite(_BESIDE, _digits)
+    out.rewrite(_DASHED, _dashed)
     out.rewrite(_BRACKET_AT, _as("@"))
     out.rewrite(_BRACKET_DOT, _as(_SAID_DOT))
     out.rewrite(_BARE_DOT, _as(_SAID_DOT))
     out.rewrite(_BARE_AT, _as("@"))
     out.rewrite(_SPACED_AT, _as("@"))
+    out.rewrite(_PLAIN_AT, _plain_at)
     out.text = out.text.replace(_SAID_DOT, ".")
     return out
 
