@@ -77,7 +77,7 @@ def test_few_words_and_any_white_space(text, kind, part):
 
 def test_texts_that_are_not_normalised_would_not_change(documents):
     random.seed(4)
-    parts = ["one", "Two", "fünf", "ſix", "plus", "dot", "POİNT", "at", "@", ".", "[", ")", "<", " ", " ", "\n", "\t", "\x1c", "\u2003", ",", "-", "1", "a", "com", "\ue000", "е", "\u200b"]
+    parts = ["one", "Two", " at ", "-at-", "_dot_", "e.com", "12 ", "fünf", "ſix", "plus", "dot", "POİNT", "at", "@", ".", "[", ")", "<", " ", " ", "\n", "\t", "\x1c", "\u2003", ",", "-", "1", "a", "com", "\ue000", "е", "\u200b"]
     texts = [r["text"] for r in documents.collect()] + ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(50_000)]
     assert [t for t in texts if t and not pii.disguised(t) and pii.normalise(t).text != t] == []
     for t in (" " * 300_000 + "(", "1 2" + " " * 300_000, "1 2(" + "\n" * 300_000 + "x"):
@@ -240,9 +240,11 @@ def test_statistics_decide(spark, small, monkeypatch):
         m.setattr(html_text, "LINKS", 2)
         assert same([html_text.main_text(bare(p)) for p in pages]) < 1
         assert "Another" in html_text.main_text(f"<body><p>{P}</p><ul><li><a href=1>Another text of ours</a></li></ul><p>{P}</p></body>")
+    names = f"<body><div><p>{'Abcd efgh ijkl. ' * 30}</p></div><h1>T</h1></body>"
+    assert html_text.main_text(names) == ""
     with monkeypatch.context() as m:
-        m.setattr(html_text, "SHORT", 1 << 30)
-        assert same([html_text.main_text(bare(p)) for p in pages]) < 1
+        m.setattr(html_text, "LONG", 1 << 30)
+        assert html_text.main_text(names).endswith("T")
 
 
 def test_very_long_and_deep_pages():
