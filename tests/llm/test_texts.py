@@ -240,7 +240,7 @@ def test_statistics_decide(spark, small, monkeypatch):
         m.setattr(html_text, "LINKS", 2)
         assert same([html_text.main_text(bare(p)) for p in pages]) < 1
         assert "Another" in html_text.main_text(f"<body><p>{P}</p><ul><li><a href=1>Another text of ours</a></li></ul><p>{P}</p></body>")
-    names = f"<body><div><p>{'Abcd efgh ijkl. ' * 30}</p></div><h1>T</h1></body>"
+    names = f"<body><div><p>{' '.join('abc' + chr(97 + i) + 'xyz'[i % 3] * i for i in range(26))}</p></div><h1>T</h1></body>"
     assert html_text.main_text(names) == ""
     with monkeypatch.context() as m:
         m.setattr(html_text, "LONG", 1 << 30)
