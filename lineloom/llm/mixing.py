@@ -2,9 +2,10 @@
 
 Sources share a budget of words by weight; a source's target stops at a multiple of its size and the excess is shared
 again by weight among the others (water filling). The documents of a source queue in shuffled order, pass after pass.
-A document's virtual finish time is the number of its source's words up to its end, divided by the source's target. All
-queues are merged by finish time. As the targets add up to the budget, the budget is spent at virtual time 1: what has
-finished by then is taken whole, and the one document of each source that is being served then is taken up to that word.
+A document's virtual finish time in a pass is the number of its source's words up to its end, divided by the source's
+target. All queues are range-sorted by finish time into one, which is cut where the budget is spent: the ranges' sums
+tell the range in which that happens, and running sums inside this range tell the document. What comes before it is taken
+whole, and it itself up to the last word of the budget. So each source is within one document, or so, of its target.
 
 Running sums over a source are made in two steps: the shuffle key cuts every source into buckets, whose sums are added
 up in a small table, and a window then runs inside each bucket. So a source that holds most rows is spread over many
@@ -64,10 +65,12 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float =
     return t.select("_null", "_source", "source_size", F.least(cap, F.coalesce(F.col("_level") * F.col("_w"), cap)).alias("target"))
 
 
-def _planned(df: DataFrame, key: str, source: str, text: str, weights: Sequence[float], most: int, share: float, keep_text: bool) -> DataFrame:
-    """The plan over the columns as ``hidden`` names them."""
-    key, source, text = (place(df, c) for c in (key, source, text))
-    df = hidden(df)
+#: Order of the merged queue: a source's documents differ in pass and start, so it has no ties.
+ORDER = ("_finish", "_null", "_source", "_pass", "_start")
+
+
+def _placed(df: DataFrame, key: str, source: str, text: str, weights: Sequence[float], most: int, share: float) -> tuple[DataFrame, DataFrame, int]:
+    """The queue with each row's start (words of its source before it), the same without texts, cut off from its lineage, and the budget. Over the columns as ``hidden`` names them."""
     buckets = max(1, min(MOST_BUCKETS, math.ceil(df.count() / BUCKET_ROWS)))
     by = ["_null", "_source"]
     queue = _queued(df, key, source, text, buckets)
@@ -75,24 +78,75 @@ def _planned(df: DataFrame, key: str, source: str, text: str, weights: Sequence[
     target = targets(sums.groupBy(*by).agg(F.sum("_sum").alias("source_size")), weights, most, share)
     ahead = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum").join(target, by)
-    ties = ["_place", key, "size"]
-    if keep_text:
-        queue = queue.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-        ties.append("_hash")
+    queue = queue.withColumn("_hash", F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_place", key, "size", "_hash").rowsBetween(Window.unboundedPreceding, -1)
+
+    def start(rows: DataFrame) -> DataFrame:
+        rows = rows.join(offsets, [*by, "_bucket"]).withColumn("_start", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return rows.drop("_place", "_bucket", "_ahead", "_hash")
+
+    total = sums.agg(F.sum("_sum")).collect()[0][0] or 0
+    return start(queue), checkpointed(start(queue.drop(text))), math.floor(share * total + 0.5)
+
+
+def _served(rows: DataFrame, most: int) -> DataFrame:
+    """One row for each pass of each document that has words."""
+    passes = F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("_pass")
+    out = rows.where("size > 0 AND target > 0").select("*", passes)
+    return out.withColumn("_finish", _finish(F.col("_pass")))
+
+
+def _finish(p: Column) -> Column:
+    return (p * F.col("source_size") + F.col("_start") + F.col("size")) / F.col("target")
+
+
+def _cut(rows: DataFrame, most: int, budget: int) -> tuple[dict, int] | None:
+    """The row of the merged queue in which the budget is spent, by ``ORDER``, and how many of its words are in it; None if there is no such row."""
+    spark = rows.sparkSession
+    served = _served(rows, most).select(*ORDER, "size")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sorted_ = served.repartitionByRange(ranges, *ORDER).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*ORDER)).alias("low"), F.sum("size").alias("n"))
+    spent = 0
+    found = sorted(sorted_.collect(), key=lambda r: tuple(r["low"]))  # a row for each range
+    for i, r in enumerate(found):
+        if spent + r["n"] >= budget:
+            break
+        spent += r["n"]
     else:
-        queue = queue.drop(text)
-    inside = Window.partitionBy(*by, "_bucket").orderBy(*ties).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    rows = queue.join(offsets, [*by, "_bucket"]).withColumn("_start", start)
-    goal = F.round("target").cast("long")
-    of_pass = lambda p: F.greatest(F.lit(0), F.least(F.col("size"), goal - p * F.col("source_size") - F.col("_start")))
-    taken = sum((of_pass(p) for p in range(1, most)), of_pass(0))
-    rows = rows.withColumn("taken", taken.cast("long")).withColumn("finish_time", F.when(F.col("target") > 0, (F.col("_start") + F.col("size")) / F.col("target")))
-    return rows.drop("_place", "_bucket", "_ahead", "_hash", "_start", *by)
+        return None
+    literal = lambda low: F.struct(*[F.lit(low[c]).cast(served.schema[c].dataType).alias(c) for c in ORDER])
+    inside = served.where(F.struct(*ORDER) >= literal(r["low"]))
+    if i + 1 < len(found):
+        inside = inside.where(F.struct(*ORDER) < literal(found[i + 1]["low"]))
+    # one range of the sort, so one task's share of the rows
+    running = inside.withColumn("_total", F.sum("size").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)) + spent)
+    last = running.where(F.col("_total") >= budget).orderBy(*ORDER).limit(1).collect()[0]
+    return last.asDict(), budget - (last["_total"] - last["size"])
+
+
+def _planned(df: DataFrame, key: str, source: str, text: str, weights: Sequence[float], most: int, share: float, keep_text: bool) -> DataFrame:
+    """The plan over the columns as ``hidden`` names them."""
+    key, source, text = (place(df, c) for c in (key, source, text))
+    df = hidden(df)
+    rows, narrow, budget = _placed(df, key, source, text, weights, most, share)
+    rows = rows if keep_text else narrow
+    cut = _cut(narrow, most, budget)
+
+    def taken(p: int) -> Column:
+        if cut is None:
+            return F.when(F.col("target") > 0, F.col("size")).otherwise(0)
+        end, words_ = cut
+        mine = F.struct(_finish(F.lit(p)), "_null", "_source", F.lit(p), "_start")
+        last = F.struct(F.lit(end["_finish"]), F.lit(end["_null"]), F.lit(end["_source"]), F.lit(end["_pass"]), F.lit(end["_start"]).cast("long"))
+        return F.when((F.col("size") == 0) | (F.col("target") <= 0), 0).when(mine < last, F.col("size")).when(mine == last, words_).otherwise(0)
+
+    of_all = sum((taken(p) for p in range(1, most)), taken(0))
+    rows = rows.withColumn("taken", of_all.cast("long")).withColumn("finish_time", F.when(F.col("target") > 0, _finish(F.lit(0))))
+    return rows.drop("_start", "_null", "_source")
 
 
 def plan(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = 3, share: float = 1.0, keep_text: bool = True) -> DataFrame:
-    """Add size, source_size, target, taken and finish_time (of the first pass) to every row.
+    """Add size, source_size, target, taken and finish_time (of the first pass) to every row; rows come sorted by finish time.
 
     Null and empty texts have size 0 and nothing is taken of them; no row of a source with target 0 is taken either. The
     order of the queues depends on ``key``, size and text alone, so reruns agree; of rows equal in all three any may come
@@ -100,13 +154,13 @@ def plan(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
     """
     rows = _planned(df, key, source, text, weights, most, share, keep_text)
     kept = [(f"_c{i}", c) for i, c in enumerate(df.columns) if c.lower() not in PLAN_COLUMNS and (keep_text or c.lower() != text.lower())]
-    return rows.select(*[F.col(h).alias(c) for h, c in kept], *PLAN_COLUMNS)
+    return rows.sort("finish_time", place(df, key)).select(*[F.col(h).alias(c) for h, c in kept], *PLAN_COLUMNS)
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = 3, share: float = 1.0) -> DataFrame:
     """The mixed corpus: the columns of ``df``, one row for each time that a document is taken, sorted by finish time over the whole result.
 
-    The text of the one document of each source that the budget cuts ends after the last word taken.
+    The text of the one document that the budget cuts ends after the last word taken.
     """
     planned = _planned(df, key, source, text, weights, most, share, True)
     hidden_text = place(df, text)

@@ -109,7 +109,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_mix_sources": r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place FROM documents
+         md5('mix' || coalesce(doc_id::VARCHAR, '')) AS place, md5(coalesce(text, '')) AS hash FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) AS n FROM d GROUP BY source
 ), w AS (
@@ -121,15 +121,17 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(cap, coalesce((SELECT arg_min(unit, (ratio, n)) FROM u WHERE unit <= ratio) * w, cap)) AS target FROM u
 ), q AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  SELECT d.doc_id, d.size, t.source_size, t.target, d.source, row_number() OVER () AS r,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, d.doc_id, d.size, hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), i AS (
+  SELECT r, size, sum(size) OVER (ORDER BY (p * source_size + start + size)::DOUBLE / target, source IS NULL, source COLLATE "C", p, start ROWS UNBOUNDED PRECEDING) - size AS ahead
+  FROM q, (SELECT unnest([0, 1, 2]) AS p) WHERE size > 0 AND target > 0
+), g AS (
+  SELECT r, sum(greatest(0, least(size, (SELECT sum(size) FROM d) - ahead)))::BIGINT AS taken FROM i GROUP BY r
 )
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target) - start)) + greatest(0, least(size, round(target) - source_size - start))
-        + greatest(0, least(size, round(target) - 2 * source_size - start)))::BIGINT AS taken,
-       CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish_time
-FROM q""",
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, CASE WHEN target > 0 THEN (start + size)::DOUBLE / target END AS finish_time
+FROM q LEFT JOIN g USING (r)""",
     "op5_top_products": """
 WITH v AS (
   SELECT vec_id AS id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
