@@ -4,8 +4,9 @@ A vector is approximated by the sum of one full-dimensional codeword from each o
 trained one after the other on the residuals of a bounded sample; encoding keeps a beam of partial sums, so a later
 codeword can make up for an earlier one. The index holds each row's codes and the norm of its approximation. A query
 makes a table of its inner products with all codewords; table look-ups and the stored norm give its distance from each
-approximation. The nearest approximations of each tile are then ranked by their exact distance. Every row is indexed and
-every query scans all codes.
+approximation. Tiles of queries and rows exchange codes and norms, not vectors; a query's nearest approximations over all
+tiles are its shortlist, and only the rows on it are fetched and ranked by exact distance. Every row is indexed and every
+query scans all codes.
 """
 
 from __future__ import annotations
@@ -15,16 +16,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm._common import attach
-from lineloom.llm.vectors import ID, VECTOR, every, matrix, one_each, ranked, smallest, usable
+from lineloom.llm.vectors import FOUND, ID, VECTOR, by_length, every, matrix, numbered, ranked, smallest, usable
 
 #: Codebooks, codewords in each, partial sums that encoding keeps, vectors to train on at most.
 BOOKS, WORDS, BEAM, SAMPLE = 16, 256, 4, 8_192
-#: Rows and queries of a tile, about; approximations that are ranked exactly in a tile, for each result.
-ROWS, QUERIES, RERANK = 8192, 512, 25
+#: Rows and queries of a tile, about; approximations over all tiles that are ranked exactly, for each result.
+ROWS, QUERIES, RERANK = 16_384, 4096, 10
 
 
 @dataclass
@@ -73,72 +74,84 @@ def train(x: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: int = 6
 
 def fit(df: DataFrame, key: str = ID, vector: str = VECTOR, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS) -> Codebooks | None:
     """Codebooks from the ``sample`` rows that are first by a hash of their ids; None for a table without usable rows."""
-    rows = usable(df, key, vector, zeros=False).orderBy(F.xxhash64("id"), "id", "vec").limit(sample).select("vec").toArrow()
-    return train(matrix(rows.column("vec"), rows.num_rows), books, words) if rows.num_rows else None
+    return _fit(usable(df, key, vector, zeros=False), sample, books, words)
 
 
-def index(df: DataFrame, books: Codebooks, key: str = ID, vector: str = VECTOR, beam: int = BEAM) -> DataFrame:
-    """(id, vec, codes binary, norm double) of every usable row."""
-    spark = attach(df.sparkSession)
-    sent = spark.sparkContext.broadcast(books)  # books x words codewords, whatever the table's size
+def _fit(rows: DataFrame, sample: int = SAMPLE, books: int = BOOKS, words: int = WORDS) -> Codebooks | None:
+    some = rows.orderBy(F.xxhash64("id"), "id", "h").limit(sample).select("vec").toArrow()
+    return train(matrix(some.column("vec"), some.num_rows), books, words) if some.num_rows else None
+
+
+def index(rows: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
+    """(id, h, codes binary, norm double) of every row of ``rows`` (as ``usable`` gives them, of one length)."""
+    sent = attach(rows.sparkSession).sparkContext.broadcast(books)  # books x words codewords, whatever the table's size
 
     def run(batches):
         for b in batches:
             codes, norm = [], []
-            x = matrix(b.column(1), b.num_rows)
+            x = matrix(b.column(2), b.num_rows)
             for at in range(0, b.num_rows, 512):
                 c, s = sent.value.encode(x[at : at + 512], beam)
                 codes += [r.tobytes() for r in c]
                 norm.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(np.concatenate(norm) if norm else [], pa.float64())], names=["id", "vec", "codes", "norm"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(codes, pa.binary()), pa.array(np.concatenate(norm) if norm else [], pa.float64())], names=["id", "h", "codes", "norm"])
 
-    return usable(df, key, vector, zeros=False).mapInArrow(run, "id long, vec array<double>, codes binary, norm double")
+    return rows.select("id", "h", "vec").mapInArrow(run, "id long, h long, codes binary, norm double")
 
 
 def search(df: DataFrame, k: int = 10, step: int = 100, key: str = ID, vector: str = VECTOR, books: Codebooks | None = None, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by exact Euclidean distance, ties to the smaller id.
 
-    Queries are the rows whose id ``step`` divides, candidates all rows with another id; repeated rows are candidates
-    each. Null, empty, zero and non-finite vectors take no part. An empty table gives no rows.
+    Queries are the rows whose id ``step`` divides, candidates all rows but the query's own; rows that are repeated or
+    share an id are queries and candidates each. Vectors meet those of their own length; ``books`` given must be of that
+    length. Null, empty, zero and non-finite vectors take no part. An empty table gives no rows.
     """
-    spark = attach(df.sparkSession)
-    schema = "query_id long, vec_id long, score double"
-    books = books or fit(df, key, vector)
-    if books is None:
-        return ranked(spark.createDataFrame([], schema), k, False)
-    rows = index(df, books, key, vector)
-    queries = one_each(usable(df, key, vector, zeros=False).where(every(step)))
-    n = df.count()
-    x_parts, q_parts = max(1, math.ceil(n / ROWS)), max(1, math.ceil(n / step / QUERIES))
-    part = lambda m: F.pmod(F.xxhash64("id"), F.lit(m))
-    x_rows = rows.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q_parts - 1)), lambda t: part(x_parts) * q_parts + t)))
-    q_rows = queries.withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(x_parts - 1)), lambda t: t * q_parts + part(q_parts))))
+    attach(df.sparkSession)
+    schema = FOUND.format("double")
+    rows = usable(df, key, vector, zeros=False)
+    return ranked(by_length(rows, lambda r, n: _search(r, n, k, step, books or _fit(r), rerank), schema), k, False)
+
+
+def _search(rows: DataFrame, n: int, k: int, step: int, books: Codebooks, rerank: int) -> DataFrame:
+    spark = rows.sparkSession
+    queries = numbered(rows.where(every(step)))
+    least = spark.sparkContext.defaultParallelism
+    x_parts, q_parts = max(1, math.ceil(n / ROWS), min(least, n // 1024)), max(1, math.ceil(n / step / QUERIES))
+    part = lambda m, *by: F.pmod(F.xxhash64(*by), F.lit(m))
+    x_rows = index(rows, books).withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(q_parts - 1)), lambda t: part(x_parts, "id", "h") * q_parts + t)))
+    q_rows = queries.drop("copies").withColumn("tile", F.explode(F.transform(F.sequence(F.lit(0), F.lit(x_parts - 1)), lambda t: t * q_parts + part(q_parts, "id", "q"))))
     sent = spark.sparkContext.broadcast(books)
     short = k * rerank
 
-    def solve(q: pa.Table, x: pa.Table) -> pa.Table:
+    def scan(q: pa.Table, x: pa.Table) -> pa.Table:
         words = sent.value.words
-        qi, xi = (t.column("id").to_numpy() for t in (q, x))
+        qi, qq = (q.column(c).to_numpy() for c in ("id", "q"))
+        xi, xh = (x.column(c).to_numpy() for c in ("id", "h"))
         order = np.argsort(xi, kind="stable")
-        xi, xv, norm = xi[order], matrix(x.column("vec"), len(xi))[order], x.column("norm").to_numpy()[order]
-        codes = np.frombuffer(b"".join(x.column("codes").to_pylist()), np.uint8).reshape(len(xi), len(words))[order]
+        xi, xh, norm = xi[order], xh[order], x.column("norm").to_numpy()[order]
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(x.column("codes").to_pylist()), np.uint8).reshape(len(xi), len(words))[order].T)
         qv = matrix(q.column("vec"), len(qi))
-        out = [[], [], []]
+        out = [[] for _ in range(5)]
         for i in range(len(qi) if len(xi) else 0):
             table = words @ qv[i]  # books x words
             near = norm.copy()
             for m in range(len(words)):
-                near -= 2 * table[m][codes[:, m]]
-            near[xi == qi[i]] = np.inf
+                near -= 2 * table[m][codes[m]]
             few = smallest(near[None, :], short)[0]
-            few = few[np.isfinite(near[few])]
-            away = np.sqrt(((xv[few] - qv[i]) ** 2).sum(1))
-            best = smallest(away[None, :], k)[0]
-            out[0].append(np.full(len(best), qi[i]))
-            out[1].append(xi[few[best]])
-            out[2].append(away[best])
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = q_rows.groupBy("tile").cogroup(x_rows.groupBy("tile")).applyInArrow(solve, schema)
-    return ranked(found, k, False)
+            for o, v in zip(out, (np.full(len(few), qi[i]), np.full(len(few), qq[i]), xi[few], xh[few], near[few]), strict=True):
+                o.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds, strict=True)], names=["query_id", "q", "id", "h", "near"])
+
+    found = q_rows.groupBy("tile").cogroup(x_rows.groupBy("tile")).applyInArrow(scan, "query_id long, q int, id long, h long, near double")
+    place = F.row_number().over(Window.partitionBy("query_id", "q").orderBy("near", "id", "h"))
+    listed = found.withColumn("_n", place).where(F.col("_n") <= short).select("query_id", "q", "id", "h")
+    met = listed.join(rows, ["id", "h"]).join(queries.select(F.col("id").alias("query_id"), "q", F.col("vec").alias("q_vec"), F.col("copies").alias("queries")), ["query_id", "q"])
+
+    def measure(batches):
+        for b in batches:
+            x, q = matrix(b.column(3), b.num_rows), matrix(b.column(4), b.num_rows)
+            away = np.sqrt(((x - q) ** 2).sum(1)) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(away), pa.array(np.zeros(b.num_rows)), *b.columns[5:]], names=["query_id", "q", "vec_id", "score", "own", "copies", "queries"])
+
+    return met.select("query_id", "q", "id", "vec", "q_vec", "copies", "queries").mapInArrow(measure, FOUND.format("double"))

@@ -1,10 +1,11 @@
 """Exact search for the largest inner products by a Voronoi join.
 
-Rows and queries are grouped by their nearest pivot. A summary of each group (rows, greatest distance from its pivot)
-bounds every inner product between a query group and a row group from both sides. The row groups with the best lower
-bounds that hold k rows set a threshold; a row group whose upper bound is below it can't hold an answer and is not
-replicated to the query group. Where a group is large it is split by a hash of the ids, so that a group that holds most
-rows (say, copies of one vector) fills many tiles. Each tile is solved on its own, and the tiles' best are merged.
+Rows and queries are grouped by their nearest pivot; there are about as many row pivots as the root of the rows. A summary
+of each group (rows, greatest distance from its pivot, the k + 1 smallest ones, greatest norm) bounds the inner products
+between a query group and a row group. The k + 1 best lower bounds of single rows set a query group's threshold; a row
+group whose upper bound is below it can't hold an answer and is not replicated to that query group. What a query group
+needs is split by a hash into tiles of bounded size, so a group that holds most rows (say, near copies of one vector)
+fills many. Each tile is solved on its own, and the tiles' best are merged.
 """
 
 from __future__ import annotations
@@ -13,15 +14,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm._common import attach
-from lineloom.llm.vectors import ID, VECTOR, every, matrix, one_each, ranked, smallest, usable
+from lineloom.llm.vectors import FOUND, ID, VECTOR, by_length, every, matrix, numbered, ranked, smallest, usable
 
-#: Rows and queries of a tile at most, about; most pivots of rows and of queries.
-ROWS, QUERIES = 4096, 512
-MOST_ROW_PIVOTS, MOST_QUERY_PIVOTS = 256, 16
+#: Rows and queries of a tile at most, about.
+ROWS, QUERIES = 8192, 2048
 _EXACT = float(1 << 53)
 
 
@@ -39,92 +39,106 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _assigned(rows: DataFrame, pivots: np.ndarray, scale: float) -> DataFrame:
-    """Add the nearest pivot of each (scaled) vector and the distance from it."""
-    sent = rows.sparkSession.sparkContext.broadcast(pivots)  # MOST_ROW_PIVOTS vectors at most
+    """Add the nearest pivot of each (scaled) vector, the distance from it and the vector's norm."""
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)  # the root of the rows, or of the queries' tiles
+    names = rows.columns
 
     def run(batches):
         p = sent.value
         half = (p * p).sum(1) / 2
         for b in batches:
-            x = scaled(matrix(b.column(1), b.num_rows), scale)
+            x = scaled(matrix(b.column(names.index("vec")), b.num_rows), scale)
             near = np.argmin(half - x @ p.T, axis=1) if b.num_rows else np.zeros(0, int)
             away = np.sqrt(((x - p[near]) ** 2).sum(1)) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near.astype(np.int32)), pa.array(away)], names=["id", "vec", "near", "away"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32)), pa.array(away), pa.array(np.sqrt((x * x).sum(1)) if b.num_rows else away)], names=[*names, "near", "away", "norm"])
 
-    return rows.select("id", "vec").mapInArrow(run, "id long, vec array<double>, near int, away double")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{fields}, near int, away double, norm double")
 
 
-def necessary(qp: np.ndarray, q_away: np.ndarray, xp: np.ndarray, x_away: np.ndarray, count: np.ndarray, k: int) -> np.ndarray:
+def necessary(qp: np.ndarray, q_away: np.ndarray, q_norm: np.ndarray, xp: np.ndarray, x_away: np.ndarray, x_norm: np.ndarray, closest: list[list[float]], k: int) -> np.ndarray:
     """Which row groups (columns) a query group (rows) needs, by bounds on the inner products of their members.
 
-    A query's own row may be among the rows, so a threshold has k + 1 rows behind it.
+    ``closest`` are the smallest distances of each row group's members from its pivot. A query's own row may be among the
+    rows, so a threshold has k + 1 rows behind it.
     """
     middle = qp @ xp.T
-    qn, xn = np.sqrt((qp * qp).sum(1))[:, None], np.sqrt((xp * xp).sum(1))[None, :]
-    slack = q_away[:, None] * xn + qn * x_away[None, :] + q_away[:, None] * x_away[None, :]
-    slack = slack * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle))
-    low, high = middle - slack, middle + slack
-    need = np.ones(low.shape, bool)
+    pn, qn, xn = np.sqrt((qp * qp).sum(1)), q_norm, np.sqrt((xp * xp).sum(1))
+    room = 1e-6 * (1 + np.abs(middle))
+    # q x = qp xp + (q - qp) xp + q (x - xp), and no more than the norms allow
+    high = np.minimum(middle + q_away[:, None] * xn + qn[:, None] * x_away, qn[:, None] * x_norm) * (1 + 1e-9 * np.sign(middle)) + room
+    owner = np.repeat(np.arange(len(xp)), [len(c) for c in closest])
+    near = np.concatenate(closest) if len(closest) else np.zeros(0)
+    need = np.ones(high.shape, bool)
     for i in range(len(qp)):
-        order = np.argsort(-low[i], kind="stable")
-        enough = np.searchsorted(np.cumsum(count[order]), k + 1)
-        if enough < len(order):
-            need[i] = high[i] >= low[i][order[enough]]
+        low = middle[i, owner] - q_away[i] * xn[owner] - min(qn[i], pn[i] + q_away[i]) * near - room[i, owner]
+        if len(low) > k:
+            need[i] = high[i] >= np.partition(low, len(low) - k - 1)[len(low) - k - 1]
     return need
 
 
 def search(df: DataFrame, k: int = 5, step: int = 50, scale: float = 256.0, key: str = ID, vector: str = VECTOR) -> DataFrame:
     """(query_id, rank, vec_id, score long): each query's k rows with the largest inner product of floor(scale * x).
 
-    Queries are the rows whose id ``step`` divides, candidates all rows with another id; repeated rows are candidates
-    each. Ties go to the smaller id. Rows that take no part: see ``usable``. An empty table gives no rows. Scores are
-    exact while they fit 64 bits.
+    Queries are the rows whose id ``step`` divides, candidates all rows but the query's own; rows that are repeated or
+    share an id are queries and candidates each. Ties go to the smaller id. Vectors meet those of their own length. Rows
+    that take no part: see ``usable``. An empty table gives no rows. Scores are exact while they fit 64 bits.
     """
-    spark = attach(df.sparkSession)
+    attach(df.sparkSession)
+    schema = FOUND.format("long")
     rows = usable(df, key, vector)
-    queries = one_each(rows.where(every(step)))
-    n = rows.count()
-    schema = "query_id long, vec_id long, score long"
-    if not n:
-        return ranked(spark.createDataFrame([], schema), k, True)
-    pivots = min(MOST_ROW_PIVOTS, max(1, n // 1024))
-    first = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(pivots).select("vec").collect()
+    return ranked(by_length(rows, lambda r, n: _search(r, n, k, step, scale, schema), schema), k, True)
+
+
+def _search(rows: DataFrame, n: int, k: int, step: int, scale: float, schema: str) -> DataFrame:
+    spark = rows.sparkSession
+    queries = numbered(rows.where(every(step)))
+    pivots = math.ceil(math.sqrt(n))
+    first = rows.orderBy(F.xxhash64("id", "h"), "id").limit(pivots).select("vec").collect()
     xp = scaled(np.array([r["vec"] for r in first], float), scale)
-    qp = xp[: min(MOST_QUERY_PIVOTS, max(1, n // step // QUERIES))]
+    qp = xp[: max(1, math.ceil(n / step / QUERIES))]
     rows, queries = _assigned(rows, xp, scale), _assigned(queries, qp, scale)
-    sums = [d.groupBy("near").agg(F.count("*").alias("n"), F.max("away").alias("away")).orderBy("near").collect() for d in (rows, queries)]
-    xs, qs = ({c: np.array([r[c] for r in s]) for c in ("near", "n", "away")} for s in sums)
-    if not len(qs["n"]):
-        return ranked(spark.createDataFrame([], schema), k, True)
-    need = necessary(qp[qs["near"]], qs["away"], xp[xs["near"]], xs["away"], xs["n"], k)
-    pairs, tile = [], 0
-    for i, j in zip(*np.nonzero(need), strict=True):
-        x_parts, q_parts = math.ceil(xs["n"][j] / ROWS), math.ceil(qs["n"][i] / QUERIES)
-        pairs.append((int(xs["near"][j]), int(qs["near"][i]), x_parts, q_parts, tile))
+    sums = [F.count("*").alias("n"), F.max("away").alias("away"), F.max("norm").alias("norm")]
+    xs = rows.groupBy("near").agg(*sums).orderBy("near").collect()
+    qs = queries.groupBy("near").agg(*sums).orderBy("near").collect()
+    if not qs:
+        return spark.createDataFrame([], schema)
+    order = Window.partitionBy("near").orderBy("away")
+    close: dict[int, list[float]] = {r["near"]: [] for r in xs}
+    for r in rows.select("near", "away", F.row_number().over(order).alias("i")).where(F.col("i") <= k + 1).select("near", "away").collect():  # k + 1 for each pivot
+        close[r["near"]].append(r["away"])
+    col = lambda s, c: np.array([r[c] for r in s])
+    x_near = col(xs, "near")
+    need = necessary(qp[col(qs, "near")], col(qs, "away"), col(qs, "norm"), xp[x_near], col(xs, "away"), col(xs, "norm"), [close[j] for j in x_near.tolist()], k)
+    pairs, tile, size = [], 0, col(xs, "n")
+    for i, q in enumerate(qs):
+        x_parts, q_parts = math.ceil(size[need[i]].sum() / ROWS), math.ceil(q["n"] / QUERIES)
+        pairs += [(int(j), q["near"], x_parts, q_parts, tile) for j in x_near[need[i]].tolist()]
         tile += x_parts * q_parts
     plan = F.broadcast(spark.createDataFrame(pairs, "x_near int, q_near int, x_parts int, q_parts int, tile long"))  # a row for two pivots at most
-    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    x_rows = rows.join(plan, F.col("near") == F.col("x_near")).select("id", "vec", F.explode(F.transform(F.sequence(F.lit(0), F.col("q_parts") - 1), lambda t: F.col("tile") + part("x_parts") * F.col("q_parts") + t)).alias("tile"))
-    q_rows = queries.join(plan, F.col("near") == F.col("q_near")).select("id", "vec", F.explode(F.transform(F.sequence(F.lit(0), F.col("x_parts") - 1), lambda t: F.col("tile") + t * F.col("q_parts") + part("q_parts"))).alias("tile"))
+    one = F.broadcast(spark.createDataFrame(sorted({p[1:] for p in pairs}), "q_near int, x_parts int, q_parts int, tile long"))
+    part = lambda n, *by: F.pmod(F.xxhash64(*by), F.col(n))
+    x_rows = rows.join(plan, F.col("near") == F.col("x_near")).select("id", "vec", "copies", F.explode(F.transform(F.sequence(F.lit(0), F.col("q_parts") - 1), lambda t: F.col("tile") + part("x_parts", "id", "h") * F.col("q_parts") + t)).alias("tile"))
+    q_rows = queries.join(one, F.col("near") == F.col("q_near")).select("id", "q", "vec", "copies", F.explode(F.transform(F.sequence(F.lit(0), F.col("x_parts") - 1), lambda t: F.col("tile") + t * F.col("q_parts") + part("q_parts", "id", "q"))).alias("tile"))
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def solve(q: pa.Table, x: pa.Table) -> pa.Table:
-        qi, xi = (t.column("id").to_numpy() for t in (q, x))
+        qi, qq, qc = (q.column(c).to_numpy() for c in ("id", "q", "copies"))
+        xi = x.column("id").to_numpy()
         order = np.argsort(xi, kind="stable")
-        xi = xi[order]
+        xi, xc = xi[order], x.column("copies").to_numpy()[order]
         xv = scaled(matrix(x.column("vec"), len(xi)), scale)[order]
         qv = scaled(matrix(q.column("vec"), len(qi)), scale)
-        out = [[], [], []]
+        out = [[] for _ in names]
         for at in range(0, len(qi) if len(xi) else 0, 64):
-            score = products(qv[at : at + 64], xv)
-            worst = score.min() - 1
-            score[qi[at : at + 64, None] == xi[None, :]] = worst
-            best = smallest(-score, k)
-            got = np.take_along_axis(score, best, 1)
-            keep = got > worst
-            out[0].append(np.broadcast_to(qi[at : at + 64, None], best.shape)[keep])
-            out[1].append(xi[best][keep])
-            out[2].append(got[keep])
-        return pa.table([pa.array(np.concatenate(o) if o else [], pa.int64()) for o in out], names=["query_id", "vec_id", "score"])
-
-    found = q_rows.groupBy("tile").cogroup(x_rows.groupBy("tile")).applyInArrow(solve, schema)
-    return ranked(found, k, True)
+            to = slice(at, at + 64)
+            score = products(qv[to], xv)
+            own = np.array([products(v[None], v[None])[0, 0] for v in qv[to]])
+            best = smallest(-score, k + 1)
+            wide = lambda v: np.broadcast_to(v[:, None], best.shape)  # noqa: B023, E731
+            for o, v in zip(out, (wide(qi[to]), wide(qq[to]), xi[best], np.take_along_axis(score, best, 1), wide(own), xc[best], wide(qc[to])), strict=True):
+                o.append(v.ravel())
+        kinds = [pa.int32() if c == "q" else pa.int64() for c in names]
+        return pa.table([pa.array(np.concatenate(o) if o else [], t) for o, t in zip(out, kinds, strict=True)], names=names)
+
+    return q_rows.groupBy("tile").cogroup(x_rows.groupBy("tile")).applyInArrow(solve, schema)

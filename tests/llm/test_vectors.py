@@ -1,5 +1,5 @@
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -24,30 +24,46 @@ def vectors(n, d=8, seed=0):
 ODD = [(100, None), (200, []), (300, [1.0, float("nan")] + [0.0] * 6), (400, [float("inf")] + [0.0] * 7), (500, [None] * 8), (600, [0.0] * 8), (700, [1.0, 2.0]), (None, [1.0] * 8), (800, [0.25] * 8), (900, [0.25] * 8), (900, [0.25] * 8)]
 
 
-def nearest(rows, step, k):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    out = {}
-    for q, v in ok:
+def whole(rows, zeros):
+    return [(i, v) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and (zeros or any(v))]
+
+
+def expected(rows, step, k, score, zeros):
+    """{query id: [(id, score)]} by comparing every query row with every other row of its length; queries that share an id one after the other."""
+    ok, out = whole(rows, zeros), defaultdict(list)
+    for a, (q, v) in enumerate(ok):
         if q % step == 0:
-            out[q] = [(i, d) for d, i in sorted((float(np.sqrt(((x - v) ** 2).sum())), i) for i, x in ok if i != q)][:k]
-    return out
+            out[q].append([(i, s) for s, i in sorted((score(v, x), i) for b, (i, x) in enumerate(ok) if b != a and len(x) == len(v))][:k])
+    return {q: f[0] if len(f) == 1 else sorted(sum(f, [])) for q, f in out.items() if any(f)}
+
+
+def nearest(rows, step, k):
+    return expected(rows, step, k, lambda v, x: float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum())), False)
 
 
 def products(rows, step, k):
-    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
-    out = {}
-    for q, v in ok:
-        if q % step == 0:
-            out[q] = [(i, -s) for s, i in sorted((-sum(a * b for a, b in zip(v, x, strict=True)), i) for i, x in ok if i != q)][:k]
-    return out
+    found = expected(rows, step, k, lambda v, x: -sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(v, x, strict=True)), True)
+    several = {i for i, n in Counter(i for i, _ in whole(rows, True)).items() if n > 1}
+    return {q: sorted((i, -s) for i, s in f) if q in several else [(i, -s) for i, s in f] for q, f in found.items()}
 
 
 def by_query(df):
+    """{query id: [(id, score)]} by rank; where queries share an id, all that they have found, sorted."""
     out = defaultdict(list)
-    for r in df.orderBy("query_id", "rank").collect():
-        out[r["query_id"]].append((r["vec_id"], r["score"]))
-        assert r["rank"] == len(out[r["query_id"]])
-    return dict(out)
+    for r in df.collect():
+        out[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    done = {}
+    for q, f in out.items():
+        if sum(r == 1 for r, *_ in f) == 1:
+            assert sorted(r for r, *_ in f) == list(range(1, len(f) + 1))
+            done[q] = [(i, s) for _, i, s in sorted(f)]
+        else:
+            done[q] = sorted((i, s) for _, i, s in f)
+    return done
+
+
+def same(got, want):
+    assert got == want
 
 
 def test_products_equal_sql(spark, small):
@@ -60,7 +76,7 @@ def test_products_equal_brute_force(spark, monkeypatch, n, tile):
     monkeypatch.setattr(exact_search, "ROWS", tile)
     monkeypatch.setattr(exact_search, "QUERIES", 20)
     rows = [(40_001 + i, v) for i, v in vectors(n)] + ODD + [(20_000 + i, [0.5] * 8) for i in range(300)]  # many copies of one vector
-    assert by_query(exact_search.search(table(spark, rows))) == products(rows, 50, 5)
+    same(by_query(exact_search.search(table(spark, rows))), products(rows, 50, 5))
 
 
 def test_bounds_drop_groups_and_nothing_else():
@@ -69,7 +85,9 @@ def test_bounds_drop_groups_and_nothing_else():
     x = centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 16))
     near = np.argmin(((x[:, None] - centres[None]) ** 2).sum(2), axis=1)
     away = np.array([np.sqrt(((x[near == g] - centres[g]) ** 2).sum(1)).max() for g in range(12)])
-    need = exact_search.necessary(centres, away, centres, away, np.bincount(near, minlength=12), 5)
+    norm = np.array([np.sqrt((x[near == g] ** 2).sum(1)).max() for g in range(12)])
+    closest = [np.sort(np.sqrt(((x[near == g] - centres[g]) ** 2).sum(1)))[:6] for g in range(12)]
+    need = exact_search.necessary(centres, away, norm, centres, away, norm, closest, 5)
     assert not need.all()
     for g in range(12):
         for q in x[near == g][:20]:
@@ -83,7 +101,7 @@ def test_large_values_are_exact():
 
 def test_nearest_are_exact_where_few(spark):
     rows = [(i + 1, v) for i, v in vectors(120)] + ODD
-    assert by_query(ann.search(table(spark, rows))) == nearest(rows, 100, 10)
+    same(by_query(ann.search(table(spark, rows))), nearest(rows, 100, 10))
 
 
 def test_recall(spark, small):
@@ -125,3 +143,27 @@ def test_empty(spark):
     assert exact_search.search(table(spark, [(1, [1.0])])).count() == 0
     assert by_query(exact_search.search(table(spark, [(50, [1.0]), (51, [-0.001])]))) == {50: [(51, -256)]}
     assert F is not None
+
+
+def test_rows_that_share_an_id_or_length(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.5, 0.5]), (51, [1.0, 1.0]), (100, [3.0]), (101, [2.0]), (100, [3.0]), (52, [1.0, 0.0]), (52, [1.0, 0.0])]
+    same(by_query(exact_search.search(table(spark, rows))), products(rows, 50, 5))
+    same(by_query(ann.search(table(spark, rows), step=50)), nearest(rows, 50, 10))
+    assert exact_search.search(table(spark, [(50, [1.0]), (50, [2.0]), (51, [3.0])])).count() == 4
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(200)]
+    got = by_query(exact_search.search(table(spark, rows)))
+    assert [i for i, _ in got[50]] == [0, 2, 4, 6, 8] and [i for i, _ in got[0]] == [2, 4, 6, 8, 10]
+    assert [i for i, _ in by_query(ann.search(table(spark, rows)))[100]] == list(range(0, 20, 2))
+
+
+def test_nearest_query_equals_brute_force(spark, small):
+    got = by_query(QUERIES["op4_nearest"](spark, small))
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
+    want = nearest(rows, 100, 10)
+    assert set(got) == set(want)
+    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    exact = {(q, i): s for q, f in nearest(rows, 100, len(rows)).items() for i, s in f}
+    assert all(abs(exact[q, i] - s) < 1e-9 for q, f in got.items() for i, s in f)
