@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -26,7 +27,8 @@ def attach(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -34,16 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and cut off from its lineage, kept in the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests, local runs) one is chosen here.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, from ``spark.checkpoint.dir``. Only a local master may do without: one is chosen for it."""
     sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return os.path.join(tempfile.gettempdir(), "lineloom-checkpoints", sc.applicationId)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed once and cut off from its lineage, kept in the shared folder until the driver drops its last reference
+    (where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set) or the folder is cleared."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        own = sc.getConf().get("spark.checkpoint.dir") or os.path.join("/tmp/lineloom-checkpoints", uuid.uuid4().hex)
-        sc.setCheckpointDir(own)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -114,9 +123,7 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the cluster's shared checkpoint folder, and read again."""
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or "/tmp/lineloom-checkpoints"
-    path = f"{base.rstrip('/')}/lineloom-{uuid.uuid4().hex}/{name}"
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lineloom-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from lineloom.llm._common import checkpointed
 
-#: Bits of a filter, as a power of two. A filter has this size whatever it was made from.
-FILTER_BITS = 24
+#: Bits of a filter for each of its keys, about; least and most bits as powers of two. Beyond the most, a filter lets more through.
+BITS_OF_KEY, LEAST_BITS, MOST_BITS = 8, 16, 27
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -33,11 +33,12 @@ def components(links: DataFrame) -> DataFrame:
         e = checkpointed(small.distinct())
 
 
-def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+def filter_of(keys: DataFrame) -> np.ndarray:
     """A bit set (uint64 words) that has every key of the only column (long) of ``keys``, and by chance others.
 
-    At most 2**(bits - 6) rows come to the driver, however many keys there are.
+    Its size follows the number of keys up to 16 MB; at most 2**21 rows come to the driver, however many keys there are.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, int(BITS_OF_KEY * keys.count()).bit_length()))
     k = F.col(f"`{keys.columns[0]}`").bitwiseAND((1 << bits) - 1)
     one = F.expr("shiftleft(1L, cast(k & 63 as int))")
     words = keys.select(k.alias("k")).groupBy(F.shiftright("k", 6).alias("w")).agg(F.bit_or(one).alias("v")).toArrow()

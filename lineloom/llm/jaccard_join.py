@@ -18,6 +18,7 @@ Groups are connected components. No pair within a known group is made, and no li
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,7 +172,7 @@ def describe(df: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
                 all_.append(s)
             count += np.bincount((np.concatenate(all_) & np.uint64(len(count) - 1)).astype(np.int64), minlength=len(count)).astype(np.uint32)
             yield row(b.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(seeds, pa.list_(pa.int64())), pa.nulls(b.num_rows, pa.int32()), pa.nulls(b.num_rows, pa.binary()))
-        parts = [c.tobytes() for c in np.minimum(count, 65535).astype("<u2").reshape(_CHUNKS, -1)]
+        parts = [c.tobytes() for c in count.astype("<u4").reshape(_CHUNKS, -1)]
         yield row(pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.binary()), pa.nulls(_CHUNKS, pa.list_(pa.int64())), pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary()))
 
     def row(*columns: pa.Array) -> pa.RecordBatch:
@@ -183,13 +184,17 @@ def describe(df: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for c, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                sums[c] = sums.get(c, np.uint64(0)) + np.frombuffer(x.as_buffer(), "<u2").astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
-
-    sketch = both.where("chunk IS NOT NULL").select("chunk", "counts").repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 2**SKETCH_BITS counters
+                sums[c] = sums.get(c, np.uint64(0)) + np.frombuffer(x.as_buffer(), "<u4").astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes() for s in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    # Sketches are as many as tasks: about the root of their number is summed at once, and then those sums.
+    root = math.ceil(both.rdd.getNumPartitions() ** 0.5)
+    sketches = both.where("chunk IS NOT NULL").select("chunk", "counts", F.pmod(F.xxhash64("counts"), F.lit(root)).alias("part"))
+    sums = sketches.repartition(_CHUNKS * root, "chunk", "part").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary")
+    sketch = sums.repartition(_CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 2**SKETCH_BITS counters
     count = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.uint64)
     for r in sketch:
-        count[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
+        count[r["chunk"]] = np.frombuffer(r["counts"], "<u4")
     count = count.ravel()
     frequent = np.packbits(count > FREQUENT * count.mean() + 64, bitorder="little").view(np.uint64)
     return both.where("n IS NOT NULL").select("id", "n", "set_hash", "seeds"), frequent

@@ -5,8 +5,8 @@ frozen. A text's tokens (what stands between ASCII white space, each with the sp
 symbol: from the longest context known to the language, a symbol costs -log2 of its share there, or the escape cost and
 then its cost in the next shorter context, where the symbols already ruled out are excluded; beyond order 0 the
 remaining byte values are equally likely. Escape probabilities are those of method C (distinct symbols against total).
-Contexts reach back to the space before the token, so a token costs the same wherever it stands, and workers keep the
-costs of tokens that they have met. The language with the shortest exact code wins; ties go to the smaller name.
+Contexts reach back to the space before the token and runs of white space are one space, so what is coded is the sequence
+of tokens, a token costs the same wherever it stands, and workers keep the costs of tokens that they have met. The language with the shortest exact code wins; ties go to the smaller name.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from lineloom.llm._common import attach, with_columns
 ORDER = 4
 #: Bounds of the training sample of each language: documents, and bytes of their texts.
 TRAIN_DOCS, TRAIN_BYTES = 400, 600_000
+#: Ranges of the hash by which training documents are chosen.
+SLOTS = 65_536
 #: Bytes of memory for the costs of tokens that a worker keeps.
 CACHE_BYTES = 40_000_000
 UNKNOWN = "und"
@@ -56,15 +58,14 @@ def grams(data: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 @dataclass
-class Model:
-    """Frozen statistics. ``key``: sorted grams of all languages; a row of the tables is a gram, a column a language.
+class Tree:
+    """Frozen statistics of one language. ``key``: its sorted grams; a row of the tables (one column each) is a gram.
 
-    log_count: log2 of the gram's count, NaN if the language hasn't seen it. As a context: ``total`` is log2 of the
+    log_count: log2 of the gram's count, NaN if it hasn't been seen. As a context: ``total`` is log2 of the
     denominator, ``escape`` the cost of an escape, ``total_x`` and ``escape_x`` the same in the next shorter context with
     this one's symbols excluded; NaN where the context is unknown.
     """
 
-    languages: list[str]
     order: int
     key: np.ndarray
     log_count: np.ndarray
@@ -73,23 +74,18 @@ class Model:
     total_x: np.ndarray
     escape_x: np.ndarray
     root: np.ndarray  # total, escape, cost beyond order 0
-    name: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """Rows of the keys; the last row, of NaN, for those that no language has seen."""
+        """Rows of the keys; the last row, of NaN, for those that haven't been seen."""
         at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
         return np.where(self.key[at] == keys, at, len(self.key) - 1)
 
-    def costs(self, words: list[bytes]) -> np.ndarray:
-        """Code length in bits of each token under each language."""
-        if not words:
-            return np.zeros((0, len(self.languages)))
-        text = b" " + b" ".join(words) + b" "
-        data = np.frombuffer(text, np.uint8)
-        rows = [self.find(k) for k in grams(data, self.order)]
+    def costs(self, data: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
+        """Code length in bits of each token of ``data``, of which ``found`` are the grams."""
+        rows = [self.find(k) for k in found]
         none = len(self.key) - 1
         n = len(data) - 1
-        cost = np.zeros((n, len(self.languages)))
+        cost = np.zeros((n, 1))
         going = np.ones(cost.shape, bool)
         escaped = np.zeros(cost.shape, bool)
         last_total = last_escape = np.zeros(cost.shape)
@@ -117,23 +113,42 @@ class Model:
         return np.add.reduceat(cost, ends, axis=0)
 
 
+@dataclass
+class Model:
+    """A tree for each language: as large as what the languages' samples hold, not as languages times grams."""
+
+    languages: list[str]
+    trees: list[Tree]
+    order: int
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def costs(self, words: list[bytes]) -> np.ndarray:
+        """Code length in bits of each token under each language."""
+        if not words or not self.trees:
+            return np.zeros((len(words), len(self.languages)))
+        data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+        found = grams(data, self.order)
+        return np.concatenate([t.costs(data, found) for t in self.trees], axis=1)
+
+
 def fit(samples: Iterable[tuple[str, str]], order: int = ORDER) -> Model:
     """Count the context trees of (language, text) pairs; each language's counts do not depend on their order."""
     texts: dict[str, list[bytes]] = {}
     for lang, text in samples:
         texts.setdefault(lang, []).extend(text.encode("utf-8", "replace").split())
     languages = sorted(texts)
-    counted = []
-    for lang in languages:
-        data = np.frombuffer(b" " + b" ".join(texts[lang]) + b" ", np.uint8)
-        of = [np.unique(k[1:][k[1:] > 0], return_counts=True) for k in grams(data, order)]
-        counted.append((np.concatenate([k for k, _ in of]), np.concatenate([c for _, c in of])))
-    none = np.uint64((1 << 64) - 1)
-    key = np.unique(np.concatenate([k for k, _ in counted] + [np.array([none])]))
-    shape = (len(key), len(languages))
+    return Model(languages, [grown(texts[lang], order) for lang in languages], order)
+
+
+def grown(words: list[bytes], order: int) -> Tree:
+    """The context tree of one language's tokens."""
+    data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
+    of = [np.unique(k[1:][k[1:] > 0], return_counts=True) for k in grams(data, order)]
+    seen_keys, counts = np.concatenate([k for k, _ in of]), np.concatenate([c for _, c in of])
+    key = np.unique(np.append(seen_keys, np.uint64((1 << 64) - 1)))
+    shape = (len(key), 1)
     count = np.zeros(shape)
-    for j, (k, c) in enumerate(counted):
-        count[np.searchsorted(key, k), j] = c
+    count[np.searchsorted(key, seen_keys), 0] = counts
     top = np.uint64(56)
     width = (key >> top).astype(int)
     symbols = key & np.uint64((1 << 56) - 1)
@@ -170,19 +185,26 @@ def fit(samples: Iterable[tuple[str, str]], order: int = ORDER) -> Model:
             "total_x": log(np.where(rest > 0, np.log2(rest), 0)),
             "escape_x": log(np.where(q_x > 0, np.log2(rest / q_x), 0)),
         }
-        root = np.stack([np.log2(root_n + root_q), np.log2((root_n + root_q) / root_q), np.where(root_q < 256, np.log2(256 - root_q), 0)]) if languages else np.zeros((3, 0))
-    return Model(languages, order, key, root=root, **tables)
+        root = np.stack([np.log2(root_n + root_q), np.log2((root_n + root_q) / root_q), np.where(root_q < 256, np.log2(256 - root_q), 0)])
+    return Tree(order, key, root=root, **tables)
 
 
 def sample(df: DataFrame, key: str, text: str = "text", lang: str = "lang", docs: int = TRAIN_DOCS, size: int = TRAIN_BYTES) -> DataFrame:
     """At most ``docs`` whole documents and ``size`` bytes of each language: those first by a hash of ``key``.
 
-    Rows with a null key, text or language are left out. The first cut needs the keys alone, and each task passes on at
-    most ``docs`` rows of a language, so no language's rows gather anywhere.
+    Rows with a null key, text or language are left out. The first cut needs the keys alone: rows are counted by language and
+    range of the hash, and only the lowest ranges that hold ``docs`` rows of a language are ranked. So a task ranks at most
+    about docs + n / SLOTS rows of a language that has n.
     """
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
     order = [F.xxhash64(key), F.col(key)]
     first = rows.select(F.col(key).alias("_k"), F.col(lang).alias("_l"), F.octet_length(text).alias("_b"))
+    # The first by hash are in the lowest of SLOTS ranges of it, so only these are ranked. Counts of ranges say how many it takes.
+    slot = F.floor((F.xxhash64("_k") / F.lit(float(1 << 63)) + 1) / 2 * SLOTS)
+    counts = first.groupBy("_l", slot.alias("_s")).agg(F.count("*").alias("_c"))
+    before = Window.partitionBy("_l").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    last = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).where(F.col("_before") < docs).groupBy(F.col("_l").alias("_of")).agg(F.max("_s").alias("_last"))
+    first = first.join(F.broadcast(last), (F.col("_l") == F.col("_of")) & (slot <= F.col("_last"))).drop("_of", "_last")  # a row for each language
     w = Window.partitionBy("_l").orderBy(F.xxhash64("_k"), "_k")
     first = first.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= docs)
     first = first.withColumn("_sum", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_sum") <= size) | (F.col("_n") == 1))

@@ -57,30 +57,31 @@ def anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return (best & np.uint64((1 << int(_AT_BITS)) - 1)).astype(np.int64), h
 
 
-class Stretches:
-    """The stretches of some texts: text number, first window, windows, anchor and content hash of each."""
-
-    def __init__(self, texts: list[bytes], length: int):
-        parts: list[tuple[int, int, bytes]] = []  # text, offset, bytes; a long text comes in overlapping pieces
-        for i, t in enumerate(texts):
-            step = PIECE
-            for at in range(0, max(0, len(t) - length + 1), step):
-                parts.append((i, at, t[at : at + step + length - 1]))
-        columns = [[], [], [], [], []]
-        self.bytes: list[bytes] = []
-        group: list[tuple[int, int, bytes]] = []
-        size = 0
-        for p in [*parts, None]:
-            if group and (p is None or size + len(p[2]) > PIECE):
-                self._add(group, columns, length)
+Part = tuple[int, int, bytes]
+
+
+def parts_of(texts: list[bytes], length: int) -> Iterator[list[Part]]:
+    """(text number, offset, bytes) in groups of about PIECE bytes; a long text comes in overlapping parts. Each text has its parts in order."""
+    group: list[Part] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(0, len(t) - length + 1), PIECE):
+            part = t[at : at + PIECE + length - 1]
+            if group and size + len(part) > PIECE:
+                yield group
                 group, size = [], 0
-            if p:
-                group.append(p)
-                size += len(p[2])
-        self.text, self.at, self.windows, self.anchor, self.content = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns)
+            group.append((i, at, part))
+            size += len(part)
+    if group:
+        yield group
+
+
+class Stretches:
+    """The stretches of a group of parts: text number, first window, windows, anchor and content hash of each."""
 
-    def _add(self, group: list[tuple[int, int, bytes]], columns: list[list], length: int) -> None:
-        joined = b"".join(g[2] for g in group)
+    def __init__(self, group: list[Part], length: int):
+        self.joined = joined = b"".join(g[2] for g in group)
+        self.length = length
         anchor, h = anchored(np.frombuffer(joined, np.uint8), length)
         size = np.array([len(g[2]) for g in group])
         ends = np.cumsum(size)
@@ -93,13 +94,16 @@ class Stretches:
         # a text's valid windows are its first ones, so a stretch of valid windows ends where the next begins or the text's last window is
         last = np.minimum(np.append(np.flatnonzero(new)[1:], len(anchor))[np.searchsorted(np.flatnonzero(new), first)] - 1, ends[own[first]] - length)
         part = own[first]
-        columns[0].append(np.array([g[0] for g in group])[part])
-        columns[1].append(first - starts[part] + np.array([g[1] for g in group])[part])
-        columns[2].append(last - first + 1)
-        columns[3].append(h[anchor[first]].view(np.int64))
-        got = [joined[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        self.bytes += got
-        columns[4].append(np.array([xxhash.xxh3_64_intdigest(x) for x in got], np.uint64).view(np.int64))
+        self.first, self.last = first, last
+        self.text = np.array([g[0] for g in group])[part]
+        self.at = first - starts[part] + np.array([g[1] for g in group])[part]
+        self.windows = last - first + 1
+        self.anchor = h[anchor[first]].view(np.int64)
+        view = memoryview(joined)
+        self.content = np.fromiter((xxhash.xxh3_64_intdigest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)).view(np.int64)
+
+    def bytes(self, i: int) -> bytes:
+        return self.joined[self.first[i] : self.last[i] + self.length]
 
 
 def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -272,15 +276,18 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
         working("suffix_dedup")
         for b in slices(batches):
             data = [_encoded(t) for t in b.column(0).to_pylist()]
-            s = Stretches(data, length)
-            cut = np.searchsorted(s.text, np.arange(len(data) + 1))
-            pack = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(d) for d in data], pa.binary()), pack(s.at, "<i8"), pack(s.windows, "<i4"), pack(s.anchor, "<i8"), pack(s.content, "<i8")], names=["digest", "at", "windows", "anchor", "content"])
+            digest = [_digest(d) for d in data]
+            for group in parts_of(data, length):  # a row for each text, or for each part of a long one
+                s = Stretches(group, length)
+                texts = np.unique(s.text)
+                cut = np.append(np.searchsorted(s.text, texts), len(s.text))
+                pack = lambda x, kind: pa.array([x[i:j].astype(kind).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array([digest[i] for i in texts.tolist()], pa.binary()), pack(s.at, "<i8"), pack(s.windows, "<i4"), pack(s.anchor, "<i8"), pack(s.content, "<i8")], names=["digest", "at", "windows", "anchor", "content"])
 
     found = checkpointed(texts.mapInArrow(stretches, "digest binary, at binary, windows binary, anchor binary, content binary"))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 16):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(c.to_pylist()), np.int64)) for c in b.columns], names=["anchor", "content"])
 
     shared = checkpointed(found.select("anchor", "content").mapInArrow(pairs, "anchor long, content long").groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high")).where("n > 1").select("anchor", F.expr("low <> high").alias("differ")))
@@ -288,7 +295,7 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
     differ = spark.sparkContext.broadcast(filter_of(shared.where("differ").select("anchor")))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, 16):
             digest = b.column(0).to_pylist()
             at, windows, anchor, content = (np.frombuffer(b"".join(b.column(i).to_pylist()), kind) for i, kind in ((1, "<i8"), (2, "<i4"), (3, "<i8"), (4, "<i8")))
             own = np.repeat(np.arange(len(digest)), [len(x.as_buffer()) // 8 for x in b.column(1)])
@@ -301,8 +308,9 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[tuple[int, int]] = set()
-        for b in slices(batches):
-            s = Stretches([_encoded(t) for t in b.column(0).to_pylist()], length)
+        groups = (g for b in slices(batches) for g in parts_of([_encoded(t) for t in b.column(0).to_pylist()], length))
+        for group in groups:
+            s = Stretches(group, length)
             out: list[list] = [[], [], []]
             for i in np.flatnonzero(in_filter(differ.value, s.anchor.view(np.uint64))).tolist():
                 key = int(s.anchor[i]), int(s.content[i])
@@ -310,7 +318,7 @@ def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFram
                     if len(sent) >= 500_000:
                         sent.clear()  # only saves sending an entry twice
                     sent.add(key)
-                    for o, x in zip(out, (*key, s.bytes[i]), strict=True):
+                    for o, x in zip(out, (*key, s.bytes(i)), strict=True):
                         o.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "content", "bytes"])
 

@@ -132,7 +132,15 @@ def test_components_of_a_graph(spark):
 
 def test_filter_has_every_key(spark):
     keys = [random.randrange(-(2**63), 2**63) for _ in range(500)]
-    words = graph.filter_of(spark.createDataFrame([(k,) for k in keys], "k long"), 16)
+    words = graph.filter_of(spark.createDataFrame([(k,) for k in keys], "k long"))
     assert graph.in_filter(words, np.array(keys, np.int64).view(np.uint64)).all()
     other = np.array([random.randrange(2**63) for _ in range(5000)], np.uint64)
     assert graph.in_filter(words, other).mean() < 0.05
+
+
+def test_query_equals_sql(spark, small):
+    from lineloom.llm.registry import ORACLE_SQL, QUERIES
+    from tests.oracle import both
+
+    ours, theirs = both(spark, small, QUERIES["op8_similar_documents"], ORACLE_SQL["op8_similar_documents"])
+    assert ours == theirs and any(r[0] != r[1] for r in ours)

@@ -36,13 +36,13 @@ def made(seed):
 
 
 def local(texts, length=200):
-    s = sd.Stretches(texts, length)
-    assert s.windows.sum() == sum(max(0, len(t) - length + 1) for t in texts)
-    count = Counter(zip(s.anchor.tolist(), s.content.tolist(), strict=True))
-    rows = sorted({(int(a), int(c), b) for a, c, b in zip(s.anchor, s.content, s.bytes, strict=True)})
+    found = [sd.Stretches(g, length) for g in sd.parts_of(texts, length)]
+    assert sum(s.windows.sum() for s in found) == sum(max(0, len(t) - length + 1) for t in texts)
+    count = Counter((a, c) for s in found for a, c in zip(s.anchor.tolist(), s.content.tolist(), strict=True))
+    rows = sorted({(int(a), int(c), s.bytes(i)) for s in found for i, (a, c) in enumerate(zip(s.anchor, s.content, strict=True))})
     part = {(a, c): r for a, c, r in sd.index_entries(iter(rows), length)}
     out = [np.zeros(len(t), bool) for t in texts]
-    for t, at, n, a, c in zip(s.text, s.at, s.windows, s.anchor.tolist(), s.content.tolist(), strict=True):
+    for t, at, n, a, c in ((*x,) for s in found for x in zip(s.text, s.at, s.windows, s.anchor.tolist(), s.content.tolist(), strict=True)):
         for low, high in [(0, n - 1)] if count[a, c] > 1 else part.get((a, c), []):
             out[t][at + low : at + high + length] = True
     return out
@@ -91,3 +91,30 @@ def test_odd_rows(odd, clashing, empty):
         assert (long_["n_bytes"], long_["n_removed"], long_["n_spans"], long_["sha"]) == (300_000, 300_000, 1, hashlib.sha256(b"").hexdigest())
         assert all(r["n_removed"] == 0 for r in rows if r["n_bytes"] < 200)
     assert sd.dedup(empty).count() == 0
+
+
+def test_periodic_texts_take_bounded_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    n = 0
+    for group in sd.parts_of([b"a" * (6 << 20)], 200):
+        n += int(sd.Stretches(group, 200).windows.sum())
+    assert n == (6 << 20) - 199 and tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def test_query_equals_brute_force(spark, small):
+    import hashlib
+
+    from lineloom.llm.registry import QUERIES
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rows = QUERIES["op3_repeated_bytes"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    gone = dict(zip(docs, brute(list(docs.values())), strict=True))
+    for r in rows:
+        g = gone[r["doc_id"]]
+        kept = np.frombuffer(docs[r["doc_id"]], np.uint8)[~g].tobytes()
+        starts = int((g & ~np.concatenate(([False], g[:-1]))).sum()) if len(g) else 0
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(g), int(g.sum()), starts, hashlib.sha256(kept).hexdigest())

@@ -68,3 +68,30 @@ def test_frames(odd, clashing, empty, packed):
         assert [r["n_tokens"] for r in counted if not r["text"]] == [0, 0]
     assert bpe.decode(bpe.encode(empty, BYTES, packed=packed), BYTES).count() == 0
     assert token_counts.count_tokens(empty, PIECES).count() == 0
+
+
+def test_queries_equal_the_libraries(spark, small):
+    import hashlib
+    import struct
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from lineloom.llm.registry import QUERIES
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    library = Tokenizer.from_file(vocabulary_path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    rows = QUERIES["op1_bpe_round_trip"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        ids = library.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    pieces = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    rows = QUERIES["op10_token_counts"](spark, small).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(docs)
+    for r in rows:
+        n = len(pieces.encode(docs[r["doc_id"]]))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 4096)
