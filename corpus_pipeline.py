@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm import bpe, jaccard_join, language_id, mixing, pii
-from lineloom.llm._common import discard, stored, table
+from lineloom.llm._common import discard, hidden, place, stored, table
 from lineloom.llm.registry import vocabulary_path
 
 #: A language must have so much of the probability of all that the model knows.
 LEAST_SCORE = 0.5
 
 
+def named(docs: DataFrame) -> list:
+    """The columns that ``hidden`` made of those of ``docs``, under their names."""
+    return [F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter go, as do those of which no language has ``LEAST_SCORE``; the others get the predicted language.
 
@@ -25,21 +30,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2), "doc_id")
     if not model.languages:
         return docs
-    found = language_id.predict(docs, model, label="_lang", score="_score")
+    found = language_id.predict(hidden(docs), model, place(docs, "text"), label="_lang", score="_score")
     found = found.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") >= LEAST_SCORE))
-    return found.withColumn("lang", F.col("_lang")).select(*docs.columns)
+    return found.withColumn(place(docs, "lang"), F.col("_lang")).select(*named(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays; of rows with one id, that of the smallest hash of its text.
+    """Of each group of similar documents the one with the smallest id stays, a null id last; of those that share it, the one of the smallest hash.
 
-    Rows with a null id have no group and stay.
+    A document is a row's id and text: different texts under one id are documents of their own, rows that repeat are one.
     """
-    found = jaccard_join.join(docs)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    key, text = place(docs, "doc_id"), place(docs, "text")
+    rows = hidden(docs).withColumn("_h", F.xxhash64(key, text))
+    group = jaccard_join.join(rows.select("_h", text), "_h", text).select("_h", "component_id").distinct()
+    order = F.struct(F.col(key).isNull(), key, "_h")
+    keep = rows.select("_h", key).distinct().join(group, "_h").groupBy("component_id").agg(F.min(order)["_h"].alias("_h")).select("_h")
+    first = Window.partitionBy("_h").orderBy(F.xxhash64(*[f"_c{i}" for i in range(len(docs.columns))]))
+    kept = rows.join(keep, "_h", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.select(*named(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
