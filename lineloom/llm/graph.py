@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lineloom.llm._common import checkpointed
 
 #: Bits of a filter for each of its keys, about; least and most bits as powers of two. Beyond the most, a filter lets more through.
-BITS_OF_KEY, LEAST_BITS, MOST_BITS = 8, 16, 27
+BITS_OF_KEY, LEAST_BITS, MOST_BITS = 64, 24, 27
 
 
 def components(links: DataFrame) -> DataFrame:
