@@ -36,18 +36,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays, a null id last; of those that share it, the one of the smallest hash.
+    """Of each group of similar documents the one with the smallest id stays; rows that repeat its id and text are one.
 
-    A document is a row's id and text: different texts under one id are documents of their own, rows that repeat are one.
+    Rows that share an id are one document for links, and their different texts stay or go together. Rows with a null id
+    have no group and stay.
     """
     key, text = place(docs, "doc_id"), place(docs, "text")
-    rows = hidden(docs).withColumn("_h", F.xxhash64(key, text))
-    group = jaccard_join.join(rows.select("_h", text), "_h", text).select("_h", "component_id").distinct()
-    order = F.struct(F.col(key).isNull(), key, "_h")
-    keep = rows.select("_h", key).distinct().join(group, "_h").groupBy("component_id").agg(F.min(order)["_h"].alias("_h")).select("_h")
-    first = Window.partitionBy("_h").orderBy(F.xxhash64(*[f"_c{i}" for i in range(len(docs.columns))]))
-    kept = rows.join(keep, "_h", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return kept.select(*named(docs))
+    rows = hidden(docs)
+    found = jaccard_join.join(rows.select(key, text), key, text)
+    keep = found.where(f"{key} = component_id").select(key).distinct()
+    first = Window.partitionBy(key, "_text").orderBy(F.xxhash64(*rows.columns))
+    kept = rows.join(keep, key, "left_semi").withColumn("_text", F.md5(F.coalesce(text, F.lit("")).cast("binary"))).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return kept.select(*named(docs)).union(docs.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
