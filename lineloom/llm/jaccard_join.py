@@ -37,7 +37,7 @@ SEEDS = 8
 SKETCH_BITS, FREQUENT = 20, 4
 _CHUNKS = 16
 #: Bytes of prefixes that a bucket of hashes holds, about.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Documents of a tile that is not cut, and the most tiles that are.
 TILE_ROWS, MOST_LARGE = 4096, 100_000
 #: Bytes of sets that a block of documents has where pairs are decided, about.
@@ -343,7 +343,7 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
             h = np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64)
             held.append(np.stack([h, np.repeat(b.column(0).to_numpy(), size), np.repeat(b.column(1).to_numpy(), size)], axis=1))
             weight += len(h)
-            if weight > 500_000:
+            if weight > 250_000:
                 yield flush()
                 weight = 0
         yield flush()
