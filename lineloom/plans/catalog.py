@@ -532,13 +532,32 @@ def line_shape_counts(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.count_if(F.col("line").rlike(r"^[A-Z][a-zà-ÿ]+(,|\.|\s|$)")).alias("n_short_start"), F.count("*").alias("n_lines"))
 
 
+@query("SELECT c_custkey, coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN c_nationkey % 4 IN (0, 3) WHEN 'MACHINERY' THEN c_nationkey % 4 = 2 ELSE false END AND c_custkey % 5 > 0, false) AS valid FROM customer")
+def page_guard(spark, sf_dir):
+    """Known pairs of author and book, and a whole positive number."""
+    k = F.col("c_custkey")
+    book = F.element_at(F.array(*map(F.lit, crossref.BOOKS)), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    number = F.when(k % 5 == 0, F.concat(k.cast("string"), F.lit("x"))).otherwise(k.cast("string"))
+    valid = crossref.valid_page(F.col("c_mktsegment"), book, number, {"BUILDING": ("matthew", "john"), "MACHINERY": ("luke",)})
+    return table(spark, sf_dir, "customer").select("c_custkey", valid.alias("valid"))
+
+
+@query("SELECT page_id, x.pos AS pos, x.content AS content FROM (SELECT page_id, unnest([{'pos': 0, 'content': 'one ' || page_id || ' three'}, {'pos': 1, 'content': 'only'}]) AS x FROM pages)")
+def element_whole_texts(spark, sf_dir):
+    """Each element's whole text, nested text included."""
+    xml = F.concat(F.lit("<d><p>one <i>"), F.col("page_id").cast("string"), F.lit("</i> three</p><p><i>only</i></p></d>"))
+    rows = readers.element_texts(table(spark, sf_dir, "pages").select("page_id", xml.alias("xml")), "xml", "/d/p")
+    return rows.select("page_id", "pos", "content")
+
+
 @query(
     """WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '') AS parts FROM pages)
-SELECT page_id, coalesce(parts[1], 'matthew') AS book, coalesce(try_cast(parts[2] AS INT), 1) AS chapter FROM p"""
+SELECT page_id, CASE WHEN parts[1] IN ('matthew', 'mark', 'luke', 'john') THEN parts[1] ELSE 'matthew' END AS book, coalesce(try_cast(parts[2] AS INT), 1) AS chapter FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN list_prepend('luke', parts[2:]) ELSE parts END AS parts FROM p)"""
 )
 def route_parse(spark, sf_dir):
     """R4, Q5, P12"""
     path = F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://[^/]*", ""), r"[?#].*$", "")
+    path = F.when(F.col("page_id") % 3 == 0, F.regexp_replace(path, r"^/[^/]*", "/luke")).otherwise(path)
     book, chapter = crossref.route(path)
     return table(spark, sf_dir, "pages").select("page_id", book.alias("book"), chapter.alias("chapter"))
 

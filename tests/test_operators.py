@@ -158,3 +158,25 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("s").count() == sessions(df).count()
+
+
+def test_element_texts_are_whole(spark):
+    from pyspark.errors import PySparkException
+
+    from lineloom.sources import readers
+
+    xml = "<d><p>one <i>two</i> three</p><q/><p><i>only</i></p><p a='1'/></d>"
+    df = spark.createDataFrame([(1, xml), (2, None), (3, "<d/>")], "k int, xml string")
+    assert [(r["k"], r["pos"], r["content"]) for r in readers.element_texts(df, "xml", "/d/p").collect()] == [(1, 0, "one two three"), (1, 1, "only"), (1, 2, "")]
+    with pytest.raises(PySparkException):
+        readers.element_texts(spark.createDataFrame([("<d><p>a</p><e><p>b</p></e></d>",)], "xml string"), "xml", "/d/p").collect()
+    with pytest.raises(ValueError):
+        readers.element_texts(df, "xml", "/d/p[1]")
+
+
+def test_unknown_books_are_the_default(spark):
+    from lineloom.plans import crossref
+
+    book, chapter = crossref.route(F.col("p"))
+    df = spark.createDataFrame([("/nosuchbook/7",), ("/john/x",), ("",)], "p string")
+    assert [tuple(r) for r in df.select(book, chapter).collect()] == [("matthew", 7), ("john", 1), ("matthew", 1)]
