@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.functions import markup, numerals, refs
+from lineloom.functions import editions, markup, numerals, refs
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
 from lineloom.plans import crossref, search
 from lineloom.sources import readers, writers
@@ -745,6 +745,100 @@ def homily_page(spark, sf_dir):
     return out.select("page_id", F.concat("text", F.coalesce(F.concat(F.lit("<ol>"), "list", F.lit("</ol>")), F.lit(""))).alias("html"))
 
 
+# --- editions -------------------------------------------------------------------------------------------------------
+
+
+def _rules_sql(value: str, rules: markup.Rules) -> str:
+    """A rule table as nested calls in SQL."""
+    for pattern, to in rules:
+        value = f"regexp_replace({value}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
+    return value
+
+
+_EDITION = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'matthew' ELSE 'john' END AS book, CASE WHEN doc_id % 7 < 5 THEN ['I', 'II', 'III', 'IV', 'V'][doc_id % 7 + 1] ELSE 'VI' END AS numeral, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents"""
+_TITLED = """'<p><span class="c">Homily ' || numeral || '.</span></p><p>"' || source || '"</p>Homilies of St. John Chrysostom,' || chr(10) || 'archbishop of constantinople,' || chr(10) || 'on the' || chr(10) || 'gospel according to st. ' || book || '.<scripRef p="1">Matt. 1.2</scripRef>Homily ' || numeral || '. Homily IX. ' || text"""
+_BOOKS = "CASE book WHEN 'john' THEN " + _rules_sql("raw", editions.HEADERS["john"]) + " WHEN 'matthew' THEN " + _rules_sql("raw", editions.HEADERS["matthew"]) + " END"
+
+
+def _edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents with a book and a numeral each."""
+    rest = F.when(F.col("doc_id") % 7 < 5, numerals.to_roman(F.col("doc_id") % 7 + 1)).otherwise("VI")
+    book = F.when(F.col("doc_id") % 2 == 0, "matthew").otherwise("john")
+    return table(spark, sf_dir, "documents").select("doc_id", book.alias("book"), rest.alias("numeral"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, book, numeral, regexp_replace({_TITLED}, '<scripRef[^>]*>[^<]*</scripRef>', '', 'g') AS raw FROM ({_EDITION})),
+h AS (SELECT doc_id, numeral, book = 'john' AND numeral = 'I' AS spare, {_rules_sql('(' + _BOOKS + ')', editions.HEADER_REST)} AS a FROM r),
+b AS (SELECT *, regexp_replace(a, '(?si)<p[^>]*>\\s*<span[^>]*>\\s*Homily\\s+' || numeral || '\\.\\s*</span>\\s*</p>', '', 'g') AS t FROM h),
+c AS (SELECT *, {_rules_sql("CASE WHEN spare THEN t ELSE regexp_replace(t, '\\bHomily ' || numeral || '\\.', '', 'g') END", editions.QUOTED_PARAGRAPH)} AS u FROM b),
+d AS (SELECT doc_id, CASE WHEN spare THEN u ELSE regexp_replace(u, '\\bHomily\\s+' || numeral || '\\.', '', 'g') END AS v FROM c)
+SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM d"""
+)
+def edition_headers(spark, sf_dir):
+    """G8, G10, G12, G13"""
+    title = F.concat(F.lit('<p><span class="c">Homily '), "numeral", F.lit('.</span></p><p>"'), "source", F.lit('"</p>'))
+    header = F.concat(F.lit("Homilies of St. John Chrysostom,\narchbishop of constantinople,\non the\ngospel according to st. "), "book", F.lit("."))
+    raw = F.concat(title, header, F.lit('<scripRef p="1">Matt. 1.2</scripRef>Homily '), "numeral", F.lit(". Homily IX. "), "text")
+    rows = _edition(spark, sf_dir)
+    rows = rows.withColumn("v", editions.headers_removed(editions.element_removed(raw, "scripRef"), F.col("book")))
+    out = rows.withColumn("v", editions.titles_removed(F.col("v"), F.col("numeral"), (F.col("book") == "john") & (F.col("numeral") == "I")))
+    return out.select("doc_id", F.length("v").cast("long").alias("n_chars"), F.md5(F.col("v").cast("binary")).alias("digest"), F.substring("v", 1, 40).alias("start"))
+
+
+_REMARKS = """<h3>SERMON IV. <i>x</i></h3><p align="center">From the Syriac MS.</p><p> cc. 2:21-24. </p><blockquote>From Mai</blockquote>[From Aubert]<A NAME="p12"><SPAN CLASS=pb>|12</SPAN></A><b>A</b> <i>word</i> """
+_DEFINED = """<A NAME="3"></A>3. <sup>a</sup> see <i>there</i> """
+
+
+@query(f"SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM (SELECT doc_id, {_rules_sql(f'{chr(39)}{_REMARKS}{chr(39)} || text || {chr(39)}{_DEFINED}{chr(39)}', editions.CLEAN_SERMON)} AS v FROM ({_EDITION}))")
+def sermon_clean(spark, sf_dir):
+    """G22"""
+    v = markup.rewrite(F.concat(F.lit(_REMARKS), "text", F.lit(_DEFINED)), editions.CLEAN_SERMON)
+    return _edition(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", F.length("v").cast("long").alias("n_chars"), F.md5(F.col("v").cast("binary")).alias("digest"), F.substring("v", 1, 40).alias("start"))
+
+
+@query(
+    """SELECT c_custkey AS k, CASE c_custkey % 3 WHEN 0 THEN '<div2 type="Homily" n="I" title="x">' || c_name || '</div2>' WHEN 1 THEN '<div2 type="Homily" n="II">second</div2>' END AS by_numeral,
+CASE c_custkey % 3 WHEN 0 THEN '<div2 type="Homily" n="I" title="x">' || c_name || '</div2>' WHEN 1 THEN '<div2 type="Homily" n="II">second</div2>' END AS by_ordinal,
+CASE c_custkey % 4 WHEN 0 THEN '#a ' || c_name || ' ' WHEN 1 THEN '#a ' || c_name || '<hr> nav ' WHEN 2 THEN '#a ' || c_name || ' ' WHEN 3 THEN '#a ' || c_name || ' end' END AS slice FROM customer"""
+)
+def edition_divisions(spark, sf_dir):
+    """G5, G21"""
+    k = F.col("c_custkey")
+    xml = F.concat(F.lit('<div1><div2 type="Homily" n="I" title="x">'), "c_name", F.lit('</div2><div2 type="Homily" title="Hebrews">no</div2><div2 type="Homily" n="II">second</div2></div1>'))
+    tail = F.when(k % 4 == 0, " #b<hr>").when(k % 4 == 1, "<hr> nav #b").when(k % 4 == 2, " <hr> nav").otherwise(" end")
+    n = (k % 3 + 1).cast("int")
+    c = table(spark, sf_dir, "customer").select(k, xml.alias("xml"), F.concat(F.lit("x #a "), "c_name", tail).alias("page"), n.alias("n"))
+    return c.select(k.alias("k"), editions.division_by_numeral(F.col("xml"), numerals.to_roman(F.col("n"))).alias("by_numeral"), editions.division_by_ordinal(F.col("xml"), F.col("n"), "Homily", 'title="Hebrews').alias("by_ordinal"), editions.slice_ladder(F.col("page"), "#a", ["#b", "<hr>"]).alias("slice"))
+
+
+@query("SELECT c_custkey AS k, c_name || ' [Greek: λόγος] & gone Matt. ' || c_nationkey AS note, '[<em>' || c_name || '</em> λόγος & Matt. ' || c_nationkey || ']' AS selected FROM customer")
+def note_texts(spark, sf_dir):
+    """G24, G25"""
+    raw = F.concat(F.lit('<p class="endnote">[<i>'), "c_name", F.lit('</i> <span lang="EL">λόγος</span>\n&amp; <note n="1">gone</note> <scripRef>Matt. '), F.col("c_nationkey").cast("string"), F.lit("</scripRef>]</p>"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), editions.note_text(raw).alias("note"), editions.selective_text(raw).alias("selected"))
+
+
+@query("SELECT 'f' || c_custkey AS file, 'f' || c_custkey || '_note_' || n AS note_key, n::BIGINT AS number, 'old ' || c_name AS note, CASE WHEN n % 3 > 0 THEN c_name || ' see more \"q\"' END AS defined FROM (SELECT c_custkey, c_name, c_custkey % 40 AS n FROM customer)")
+def notes_by_number(spark, sf_dir):
+    """G26, G27"""
+    n = (F.col("c_custkey") % 40).cast("string")
+    anchor = F.when(F.col("c_custkey") % 40 % 3 > 0, F.concat(F.lit('<A NAME="'), n, F.lit('"></A>'), n, F.lit(".&nbsp;"), "c_name", F.lit("  <I>see</I>&nbsp;more &quot;q&quot;<p>"))).otherwise("")
+    page = F.concat(F.lit('a <A HREF="#'), n, F.lit('"><SUP>'), n, F.lit("</SUP></A> b "), anchor, F.lit('<A NAME="'), n, F.lit('"><SUP>'), n, F.lit("</SUP></A> old "), "c_name", F.lit(' <A NAME="77"><SUP>77</SUP></A> unmarked<br>'))
+    pages = table(spark, sf_dir, "customer").select(F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("file"), page.alias("page"), n.alias("n"))
+    defined = pages.select("file", editions.note_by_number(F.col("page"), F.col("n")).alias("defined"))
+    return editions.marked_notes(pages, "file", "page").join(defined, "file").select("file", "note_key", "number", "note", "defined")
+
+
+@query("SELECT c_custkey AS k, (c_custkey % 9 + 1)::INT AS chapter, (c_nationkey + 1)::INT AS start, (CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 4 ELSE c_nationkey + 1 END)::INT AS \"end\", c_name AS text FROM customer WHERE c_custkey % 5 > 0 UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL FROM customer WHERE c_custkey % 5 = 0")
+def verse_quotes(spark, sf_dir):
+    """G28"""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    verses = F.concat((k % 9 + 1).cast("string"), F.lit(":"), (n + 1).cast("string"), F.when(k % 2 == 0, F.concat(F.lit("-"), (n + 4).cast("string"))).otherwise(""), F.lit(". "), "c_name")
+    q = editions.verse_quote(F.when(k % 5 == 0, F.col("c_name")).otherwise(verses))
+    return table(spark, sf_dir, "customer").select(k.alias("k"), q.alias("q")).select("k", *[F.col(f"q.{f}").alias(f) for f in ("chapter", "start", "end", "text")])
+
+
 # --- extensions: not in the surveyed operator set -----------------------------------------------------------------
 
 
