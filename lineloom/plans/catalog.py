@@ -568,6 +568,23 @@ _CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?
 _SPACED = "trim(regexp_replace({0}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
 
 
+def _rules_sql(value: str, rules: markup.Rules) -> str:
+    """A rule table as nested calls in SQL."""
+    for pattern, to in rules:
+        value = f"regexp_replace({value}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
+    return value
+
+
+def _strip_sql(value: str, allowed: str) -> str:
+    """Tags are removed but for those of the allowed names: these are set aside and put back."""
+    aside = f"regexp_replace({value}, '<(/?(?:{allowed})(?:\\b[^>]+)?)>', chr(1) || '\\1' || chr(2), 'g')"
+    return f"replace(replace(regexp_replace({aside}, '<[^>]+>', '', 'g'), chr(1), '<'), chr(2), '>')"
+
+
+def _paragraphs_sql(value: str) -> str:
+    return f"array_to_string(list_transform(list_filter(list_transform(string_split({value}, '</p>'), lambda x: trim(regexp_replace(x, '<p[^>]*>', '', 'g'))), lambda x: x <> ''), lambda x: '<p>' || x || '</p>'), '')"
+
+
 @query(f"SELECT page_id, {_SPACED.format(f'''regexp_replace({_CLEAN}, '<[^>]+>', ' ', 'g')''')} AS text FROM pages")
 def html_strip(spark, sf_dir):
     """S11, G16, G22, G23"""
@@ -575,9 +592,9 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.normalise_space(clean).alias("text"))
 
 
-@query(None)
+@query(f"SELECT page_id, {_paragraphs_sql(_rules_sql(_strip_sql(_rules_sql('html', markup.CLEAN_DOCUMENT), 'p|em|strong'), markup.TIDY_SPACE))} AS html FROM pages")
 def html_allowlist_strip(spark, sf_dir):
-    """Needs lookahead, which DuckDB lacks; a test holds it against another way."""
+    """G15-G18"""
     clean = markup.rewrite(F.col("html"), markup.CLEAN_DOCUMENT)
     kept = markup.rewrite(markup.strip_tags(clean, ["p", "em", "strong"]), markup.TIDY_SPACE)
     return table(spark, sf_dir, "pages").select("page_id", markup.paragraphs(kept).alias("html"))
@@ -732,7 +749,19 @@ def canon_view(spark, sf_dir):
     return crossref.point_text(rows, points).select("canon", "ord", F.col("name").alias("book"), "chapter", "verse", F.coalesce("text", F.lit("not available")).alias("text"), "sort_key")
 
 
-@query(None)
+_LINK = '<a href="([^"]*)">([^<]*)</a>'
+_NOTE = "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')"
+#: the first rule of PAGE_BREAKS without its lookahead
+_BREAKS = [(r"(?i)(\w)-?<pb[^>]*/?>(\w)", "$1$2"), markup.PAGE_BREAKS[1], (r"(?is)<h1>.*?</h1>", "")]
+_LEADING = (r"^\s*(?:[A-Z][a-z]+\.?\s+)?(?:[IVXLC]+|\d+)[.:]\s*\d+(?:\s*[-,]\s*\d+)*[.;:]?[\s\p{Z}]*", "")
+
+
+@query(
+    f"""WITH b AS (SELECT page_id, html, CASE WHEN contains(html, '<article>') THEN substr(html, strpos(html, '<article>')) END AS a FROM pages),
+c AS (SELECT page_id, html, CASE WHEN contains(a, '</article>') THEN left(a, strpos(a, '</article>') - 1) ELSE a END AS body FROM b),
+t AS (SELECT page_id, {_rules_sql(_rules_sql(_strip_sql(_rules_sql('body', [*markup.CLEAN_DOCUMENT, *_BREAKS]), 'p|sup|a'), markup.TIDY_SPACE), [_LEADING])} AS text, regexp_extract_all(html, '{_LINK}', 2) AS labels FROM c)
+SELECT page_id, {_paragraphs_sql('text')} || CASE WHEN len(labels) > 0 THEN '<ol>' || array_to_string(list_transform(labels, lambda x: '<li>' || {_NOTE} || '</li>'), '') || '</ol>' ELSE '' END AS html FROM t"""
+)
 def homily_page(spark, sf_dir):
     """Q4: an article sliced, cleaned, stripped to allowed tags and put into paragraphs, with its notes behind it."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", markup.between(F.col("html"), "<article>", "</article>").alias("body"))
@@ -748,13 +777,6 @@ def homily_page(spark, sf_dir):
 # --- editions -------------------------------------------------------------------------------------------------------
 
 
-def _rules_sql(value: str, rules: markup.Rules) -> str:
-    """A rule table as nested calls in SQL."""
-    for pattern, to in rules:
-        value = f"regexp_replace({value}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to.replace('$', chr(92))}', 'g')"
-    return value
-
-
 _EDITION = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'matthew' ELSE 'john' END AS book, CASE WHEN doc_id % 7 < 5 THEN ['I', 'II', 'III', 'IV', 'V'][doc_id % 7 + 1] ELSE 'VI' END AS numeral, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents"""
 _TITLED = """'<p><span class="c">Homily ' || numeral || '.</span></p><p>"' || source || '"</p>Homilies of St. John Chrysostom,' || chr(10) || 'archbishop of constantinople,' || chr(10) || 'on the' || chr(10) || 'gospel according to st. ' || book || '.<scripRef p="1">Matt. 1.2</scripRef>Homily ' || numeral || '. Homily IX. ' || text"""
 _BOOKS = "CASE book WHEN 'john' THEN " + _rules_sql("raw", editions.HEADERS["john"]) + " WHEN 'matthew' THEN " + _rules_sql("raw", editions.HEADERS["matthew"]) + " END"
