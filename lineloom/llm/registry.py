@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, mixing, pii, suffix_dedup, token_counts
+from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, license_scan, mixing, pii, suffix_dedup, token_counts
 from lineloom.llm._common import table
 
 
@@ -92,6 +92,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None,
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License statements in every text; counts, places and ``base_labels`` are those of the base phrases."""
+    done = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("found", lambda d: d["base"])
+    return done.withColumn("base", base).select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda d: d["first"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda d: d["first"])).cast("long").alias("last_word"),
+        license_scan.labels(F.col("base")).alias("base_labels"),
+        license_scan.labels(F.concat("base", "kept")).alias("labels"),
+        license_scan.score(F.col("kept")).alias("score"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
@@ -103,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_similar_documents": op8_similar_documents,
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
+    "op11_license_scan": op11_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
