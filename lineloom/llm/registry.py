@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import ann, bpe, exact_search, html_text, jaccard_join, language_id, license_scan, mixing, pii, suffix_dedup, token_counts
+from lineloom.llm import ann, bpe, exact_search, hard_negatives, html_text, jaccard_join, language_id, license_scan, mixing, pii, suffix_dedup, token_counts
 from lineloom.llm._common import table
 
 
@@ -108,6 +108,12 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positives of every row whose vec_id 50 divides, and negatives that score nearly as high; labels are shifted where 7 divides vec_id."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=shifted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_token_counts": op10_token_counts,
     "op11_license_scan": op11_license_scan,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -172,4 +179,19 @@ WITH v AS (
   FROM v q JOIN v x ON q.id <> x.id WHERE q.id % 50 = 0
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.r AS a, a.id AS anchor_id, x.r AS x, x.id AS id, a.label = x.label AS alike, list_sum(list_transform(list_zip(a.v, x.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v a JOIN v x ON a.r <> x.r AND len(a.v) = len(x.v) WHERE a.id % 50 = 0
+), p AS (
+  SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id, x) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.x ORDER BY n.score DESC, n.id, n.x)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3""",
 }
