@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm import ann, bpe, exact_search, hard_negatives, html_text, jaccard_join, language_id, license_scan, mixing, pii, suffix_dedup, token_counts
+from lineloom.llm import ann, bpe, exact_search, hard_negatives, html_text, jaccard_join, language_id, license_scan, mixing, pii, prefix_trie, suffix_dedup, token_counts
 from lineloom.llm._common import table
 
 
@@ -114,6 +114,13 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=shifted)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of the conversations, each with its first turns from the conversation that begins its hundred."""
+    turns, texts, members = prefix_trie.read(table(spark, sf_dir, "conversations"))
+    length = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, members, 100, length, 5), texts, members)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe_round_trip": op1_bpe_round_trip,
     "op2_mix_sources": op2_mix_sources,
@@ -127,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_license_scan": op11_license_scan,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -194,4 +202,30 @@ WITH v AS (
 SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.x ORDER BY n.score DESC, n.id, n.x)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
 FROM p JOIN s n ON n.a = p.a AND NOT n.alike AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
 QUALIFY rank <= 3""",
+    "op13_prefix_trie": """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(octet_length(encode(coalesce(role, ''))), ':', role, text))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)), lambda a, b:
+    xor(a >> 8, list_reduce(list_prepend(xor(a & 255, b), range(8)), lambda x, n: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.i <= c.h UNION ALL
+  SELECT c.conv_id, t.i, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.i > c.h
+), l AS (
+  SELECT c.conv_id, coalesce(list(sha256(concat(octet_length(encode(role)), ':', role, text)) ORDER BY i) FILTER (i IS NOT NULL), []) AS turns, coalesce(list(length(text) ORDER BY i) FILTER (i IS NOT NULL), []) AS chars
+  FROM c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id
+), p AS (
+  SELECT conv_id, d, len(turns) AS n, array_to_string(turns[1:d], '') AS node, array_to_string(turns[1:d - 1], '') AS parent, coalesce(chars[d], 0) AS chars FROM l, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)
+), n AS (
+  SELECT node, d, min(CASE WHEN d > 0 THEN parent END) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256 FROM p GROUP BY node, d
+), k AS (SELECT parent AS node, count(*) AS n_children FROM n WHERE d > 0 GROUP BY parent
+), w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)
+), u AS (
+  SELECT x.node, count(*) FILTER (y.n_children = 0) AS n_leaves, sum(y.saved)::BIGINT AS saved_tokens FROM w x JOIN w y ON starts_with(y.node, x.node) GROUP BY x.node
+)
+SELECT w.conv_id, w.d::BIGINT AS depth, q.conv_id AS parent_conv_id, w.n_convs, w.n_children::BIGINT AS n_children, u.n_leaves::BIGINT AS n_leaves, u.saved_tokens, w.ends_sha256
+FROM w JOIN u USING (node) LEFT JOIN n q ON w.d > 0 AND q.node = w.parent""",
 }
