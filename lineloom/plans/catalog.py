@@ -5,41 +5,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineloom.functions import editions, markup, numerals, refs
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
-from lineloom.plans import crossref, search
+from lineloom.plans import crossref, search, structure  # noqa: F401
+from lineloom.plans.registry import CLEAN_SQL as _CLEAN
+from lineloom.plans.registry import LINES_SQL as _LINES
+from lineloom.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
+from lineloom.plans.registry import SPACED_SQL as _SPACED
 from lineloom.sources import readers, writers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 TERM = "the"
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- lines and search ---------------------------------------------------------------------------------------------
 
-_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents"
-
-
 @query(f"SELECT doc_id, line_no::BIGINT AS line_no, length(line)::BIGINT AS n_chars, line FROM ({_LINES})")
 def line_explode(spark, sf_dir):
     """S1, E4"""
@@ -564,9 +546,6 @@ def route_parse(spark, sf_dir):
 
 # --- markup ---------------------------------------------------------------------------------------------------------
 
-_CLEAN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
-_SPACED = "trim(regexp_replace({0}, '[\\s\\x{{00A0}}]+', ' ', 'g'))"
-
 
 def _rules_sql(value: str, rules: markup.Rules) -> str:
     """A rule table as nested calls in SQL."""
@@ -648,13 +627,6 @@ def entities_and_escapes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", escaped.alias("attribute"), markup.unescape_attribute(escaped).alias("back"), markup.decode_entities(title).alias("title"), markup.rewrite(title, markup.HYPHENS).alias("joined"))
 
 
-@query("SELECT page_id, count(*) FILTER (x[1:1] = '<' AND x[2:2] <> '/') AS n_start, count(*) FILTER (x[1:2] = '</') AS n_end, count(*) FILTER (x[1:1] <> '<') AS n_text FROM (SELECT page_id, unnest(regexp_extract_all(" + _CLEAN + ", '<[^>]+>|[^<]+')) AS x FROM pages) GROUP BY page_id")
-def markup_events(spark, sf_dir):
-    """S12"""
-    e = readers.markup_events(table(spark, sf_dir, "pages"), ["page_id"], "html")
-    return e.groupBy("page_id").agg(F.count_if(F.col("kind") == "start").alias("n_start"), F.count_if(F.col("kind") == "end").alias("n_end"), F.count_if(F.col("kind") == "text").alias("n_text"))
-
-
 @query("SELECT doc_id, regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*$', 1) AS last_word, coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, 'th'))[1], '') AS first_th, length(substr(text, 1, 1000))::BIGINT AS head FROM documents WHERE n_chars > 20 AND NOT regexp_matches(text, '(?i)^(the|notes)')")
 def text_windows(spark, sf_dir):
     """P9-P11, W10, W11"""
