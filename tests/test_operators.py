@@ -8,14 +8,14 @@ from lineloom.plans import crossref, search
 from lineloom.sources import readers, writers
 
 
-@pytest.mark.parametrize("width", [1, 3])
-def test_overlap_equals_nested_loop(spark, width):
+@pytest.mark.parametrize("rows", [1, 7, 200_000])
+def test_overlap_equals_nested_loop(spark, rows):
     random.seed(1)
     make = lambda: [(i, random.randint(1, 12), random.randint(1, 9), random.randint(1, 12), random.randint(1, 9)) for i in range(150)]  # noqa: E731  many end before they start
     left, right = make(), make()
     a = spark.createDataFrame(left, "l int, a int, b int, c int, d int")
     b = spark.createDataFrame(right, "r int, e int, f int, g int, h int")
-    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", width=width).select("l", "r").collect()
+    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", rows=rows).select("l", "r").collect()
     want = {(x[0], y[0]) for x in left for y in right if x[1:3] <= y[3:5] and x[3:5] >= y[1:3]}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     plan = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh")._jdf.queryExecution().toString()
@@ -180,3 +180,34 @@ def test_unknown_books_are_the_default(spark):
     book, chapter = crossref.route(F.col("p"))
     df = spark.createDataFrame([("/nosuchbook/7",), ("/john/x",), ("",)], "p string")
     assert [tuple(r) for r in df.select(book, chapter).collect()] == [("matthew", 7), ("john", 1), ("matthew", 1)]
+
+
+def test_overlap_of_hot_majors(spark):
+    """Most intervals lie in one major, at one minor or over all of them: no task gets much more than the others."""
+    r = random.Random(3)
+
+    def interval(i):
+        at = (7, r.randint(0, 10_000)) if i % 3 else (7, 500)
+        return (i, *at, at[0], at[1] + r.randint(-1, 2)) if i % 50 else (i, r.randint(0, 9), 0, 9, r.randint(0, 9))
+
+    left, right = [interval(i) for i in range(3000)], [interval(i) for i in range(900)]
+    a = spark.createDataFrame(left, "l int, a int, b int, c int, d int")
+    b = spark.createDataFrame(right, "r int, e int, f int, g int, h int")
+    want = sorted((x[0], y[0]) for x in left for y in right if x[1:3] <= y[3:5] and x[3:5] >= y[1:3])
+    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", rows=100)
+    assert sorted((x["l"], x["r"]) for x in got.select("l", "r").collect()) == want
+
+    ends = a.select(F.col("a").cast("long") * (1 << 32) + F.col("b")).toDF("at")
+    cuts = intervals._cuts(ends, 100)
+    assert len(cuts) > 10  # one major alone is cut into bands
+    banded = intervals._banded(intervals._positions(a, "abcd", "_l"), "_l", cuts)
+    sizes = {x["b"]: x["n"] for x in banded.groupBy(F.col("_l_at").alias("b")).agg(F.count("*").alias("n")).collect()}
+    blocks = {b: -(-n // 100) for b, n in sizes.items() if n > 100}
+    dealt = intervals._dealt(banded, "_l", "l", blocks, {}).groupBy("_l_at", "_l_own").count().select("count").collect()
+    assert max(x[0] for x in dealt) < 4 * sorted(x[0] for x in dealt)[len(dealt) // 2] < max(sizes.values())
+
+
+def test_overlap_needs_all_four_numbers(spark):
+    a = spark.createDataFrame([(1, 1, 1, None, 5), (2, 1, -5, 1, 5), (3, -2, 0, -1, 3)], "l int, a int, b int, c int, d int")
+    b = spark.createDataFrame([(1, 1, 1, 1, 1), (2, -1, 3, -1, 9), (3, None, 0, 9, 9)], "r int, e int, f int, g int, h int")
+    assert sorted((x["l"], x["r"]) for x in intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", rows=1).select("l", "r").collect()) == [(2, 1), (3, 2)]
