@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import editions, markup, numerals, refs
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
-from lineloom.plans import crossref, search, structure  # noqa: F401
+from lineloom.plans import crossref, search, served, structure  # noqa: F401
 from lineloom.plans.registry import CLEAN_SQL as _CLEAN
 from lineloom.plans.registry import LINES_SQL as _LINES
 from lineloom.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
@@ -670,21 +670,6 @@ def add_if_absent(spark, sf_dir):
 # --- whole plans ----------------------------------------------------------------------------------------------------
 
 
-@query(
-    """WITH b AS (SELECT DISTINCT doc_id AS chapter, line_no AS verse FROM (""" + _LINES + """) WHERE line_no % 4 = 1),
-k AS (SELECT doc_id AS chapter, line_no AS verse, length(line) % 3 AS key FROM (""" + _LINES + """) WHERE line_no % 2 = 0),
-l AS (SELECT doc_id AS chapter, line_no AS verse, b.verse IS NOT NULL AS brk, k.key::VARCHAR AS key FROM (""" + _LINES + """) x LEFT JOIN b ON x.doc_id = b.chapter AND x.line_no = b.verse LEFT JOIN k ON x.doc_id = k.chapter AND x.line_no = k.verse),
-p AS (SELECT *, sum(CASE WHEN brk OR verse = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY chapter ORDER BY verse)::BIGINT AS paragraph, last_value(key IGNORE NULLS) OVER (PARTITION BY chapter ORDER BY verse ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM l)
-SELECT chapter, verse::INT AS verse, paragraph, CASE WHEN key IS NOT NULL AND key IS DISTINCT FROM prev THEN key END AS shown_key FROM p"""
-)
-def chapter_view(spark, sf_dir):
-    """Q2: P3, J2, J7, W2, W4. A document is a chapter, its lines are verses."""
-    rows = readers.lines(table(spark, sf_dir, "documents").select(F.lit("d").alias("book"), F.col("doc_id").alias("chapter"), "text")).withColumn("verse", F.col("line_no"))
-    breaks = rows.where("verse % 4 = 1")
-    keys = rows.where("verse % 2 = 0").select("book", "chapter", "verse", (F.length("line") % 3).cast("string").alias("key"))
-    return crossref.chapter_view(rows.drop("line"), breaks, keys).select("chapter", "verse", "paragraph", "shown_key")
-
-
 @query(
     """WITH l AS (SELECT 'b' || (n_regionkey) AS book, n_nationkey AS chapter, n_nationkey % 5 + 1 AS verse FROM nation),
 k AS (SELECT book, chapter, verse, 'K' || (chapter % 6) AS key FROM l),
