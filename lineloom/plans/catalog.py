@@ -735,10 +735,6 @@ def homily_page(spark, sf_dir):
 
 
 _EDITION = """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'matthew' ELSE 'john' END AS book, CASE WHEN doc_id % 7 < 5 THEN ['I', 'II', 'III', 'IV', 'V'][doc_id % 7 + 1] ELSE 'VI' END AS numeral, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents"""
-_TITLED = """'<p><span class="c">Homily ' || numeral || '.</span></p><p>"' || source || '"</p>Homilies of St. John Chrysostom,' || chr(10) || 'archbishop of constantinople,' || chr(10) || 'on the' || chr(10) || 'gospel according to st. ' || book || '.<scripRef p="1">Matt. 1.2</scripRef>Homily ' || numeral || '. Homily IX. ' || text"""
-_BOOKS = "CASE book WHEN 'john' THEN " + _rules_sql("raw", editions.HEADERS["john"]) + " WHEN 'matthew' THEN " + _rules_sql("raw", editions.HEADERS["matthew"]) + " END"
-
-
 def _edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents with a book and a numeral each."""
     rest = F.when(F.col("doc_id") % 7 < 5, numerals.to_roman(F.col("doc_id") % 7 + 1)).otherwise("VI")
@@ -747,18 +743,15 @@ def _edition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH r AS (SELECT doc_id, book, numeral, regexp_replace({_TITLED}, '<scripRef[^>]*>[^<]*</scripRef>', '', 'g') AS raw FROM ({_EDITION})),
-h AS (SELECT doc_id, numeral, book = 'john' AND numeral = 'I' AS spare, {_rules_sql('(' + _BOOKS + ')', editions.HEADER_REST)} AS a FROM r),
-b AS (SELECT *, regexp_replace(a, '(?si)<p[^>]*>\\s*<span[^>]*>\\s*Homily\\s+' || numeral || '\\.\\s*</span>\\s*</p>', '', 'g') AS t FROM h),
-c AS (SELECT *, {_rules_sql("CASE WHEN spare THEN t ELSE regexp_replace(t, '\\bHomily ' || numeral || '\\.', '', 'g') END", editions.QUOTED_PARAGRAPH)} AS u FROM b),
-d AS (SELECT doc_id, CASE WHEN spare THEN u ELSE regexp_replace(u, '\\bHomily\\s+' || numeral || '\\.', '', 'g') END AS v FROM c)
-SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM d"""
+    f"""SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM (
+  SELECT doc_id, CASE WHEN source = '' THEN '<p>""</p>' ELSE '' END || CASE WHEN book = 'john' AND numeral = 'I' THEN 'Homily I.' ELSE '' END || ' Homily IX. ' || text AS v FROM ({_EDITION}))"""
 )
 def edition_headers(spark, sf_dir):
-    """G8, G10, G12, G13"""
-    title = F.concat(F.lit('<p><span class="c">Homily '), "numeral", F.lit('.</span></p><p>"'), "source", F.lit('"</p>'))
+    """A header in paragraphs or as running text, titles and a quotation in front of whole documents; SQL has what is to be left."""
     header = F.concat(F.lit("Homilies of St. John Chrysostom,\narchbishop of constantinople,\non the\ngospel according to st. "), "book", F.lit("."))
-    raw = F.concat(title, header, F.lit('<scripRef p="1">Matt. 1.2</scripRef>Homily '), "numeral", F.lit(". Homily IX. "), "text")
+    split = F.concat(F.lit("<p>"), F.array_join(F.split(header, "\n"), "</p>\n<p>"), F.lit("</p>"))
+    title = F.concat(F.lit('<p><span class="c">Homily '), "numeral", F.lit('.</span></p><p>"'), "source", F.lit('"</p>'))
+    raw = F.concat(F.when(F.col("doc_id") % 3 == 0, header).otherwise(split), title, F.lit('<scripRef p="1">Matt. 1.2</scripRef>Homily '), "numeral", F.lit(". Homily IX. "), "text")
     rows = _edition(spark, sf_dir)
     rows = rows.withColumn("v", editions.headers_removed(editions.element_removed(raw, "scripRef"), F.col("book")))
     out = rows.withColumn("v", editions.titles_removed(F.col("v"), F.col("numeral"), (F.col("book") == "john") & (F.col("numeral") == "I")))
@@ -769,10 +762,10 @@ _REMARKS = """<h3>SERMON IV. <i>x</i></h3><p align="center">From the Syriac MS.<
 _DEFINED = """<A NAME="3"></A>3. <sup>a</sup> see <i>there</i> """
 
 
-@query(f"SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM (SELECT doc_id, {_rules_sql(f'{chr(39)}{_REMARKS}{chr(39)} || text || {chr(39)}{_DEFINED}{chr(39)}', editions.CLEAN_SERMON)} AS v FROM ({_EDITION}))")
+@query(f"SELECT doc_id, length(v)::BIGINT AS n_chars, md5(v) AS digest, left(v, 40) AS start FROM (SELECT doc_id, regexp_replace('<strong>A</strong> <em>word</em> ' || text, '\\s+$', '') AS v FROM ({_EDITION}))")
 def sermon_clean(spark, sf_dir):
-    """G22"""
-    v = markup.rewrite(F.concat(F.lit(_REMARKS), "text", F.lit(_DEFINED)), editions.CLEAN_SERMON)
+    """Remarks in front of whole documents and a note behind them; SQL has what is to be left."""
+    v = editions.sermon_cleaned(F.concat(F.lit(_REMARKS), "text", F.lit(_DEFINED)))
     return _edition(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", F.length("v").cast("long").alias("n_chars"), F.md5(F.col("v").cast("binary")).alias("digest"), F.substring("v", 1, 40).alias("start"))
 
 

@@ -22,16 +22,17 @@ def test_header_lines(spark, text, want):
 @pytest.mark.parametrize(
     "text, want",
     [
-        ("Matt. IV. 1, 2. Then", " Then"),
-        ("Matthew 4:1. Then", " Then"),
-        (", 5. Then", " Then"),
+        ("Matt. IV. 1, 2. Then", "Then"),
+        ("Matthew 4:1. Then", "Then"),
+        (", 5. Then", "Then"),
+        ("<p>\u00a0Matthew iv. 1-3</p>", "<p></p>"),
         ("<p> Matt. 4. 1 Then</p>", "<p>Then</p>"),
         ("Then Matt. 4. 1", "Then Matt. 4. 1"),
         (None, None),
     ],
 )
 def test_leading_references(spark, text, want):
-    assert one(spark, text, lambda c: markup.rewrite(c, editions.leading_references(r"Matt\.|Matthew"))) == want
+    assert one(spark, text, lambda c: editions.leading_reference_removed(c, ["Matt.", "Matthew"])) == want
 
 
 def test_titles(spark):
@@ -47,12 +48,43 @@ def test_titles(spark):
 
 
 def test_headers_by_book(spark):
-    text = "Homilies of St. John Chrysostom, on the gospel according to st. matthew. Text st. john. Preface. archbishop of constantinople,"
-    df = spark.createDataFrame([(text, "matthew"), (text, "luke"), (text, None), (None, "john"), ("st. john. Text", "john")], "s string, b string")
+    text = "Homilies of St. John Chrysostom, on the gospel according to st. matthew. Text st. john. archbishop of constantinople,"
+    parts = "<p>Homilies of\nSt. John Chrysostom,</p>\n<p><i>on the</i></p><p>—</p><p>Gospel according to <b>St. Matthew</b>.</p><p>On the third day</p>"
+    rows = [(text, "matthew"), (text, "luke"), (text, None), (None, "john"), ("st. john. Text", "john"), (parts, "matthew"), ("<p>st. johnny</p>", "john"), ("<p>on the</p>", "john"), ("", "john"), ("On the way", "john")]
+    df = spark.createDataFrame(rows, "s string, b string")
     got = [r["y"] for r in df.select(editions.headers_removed(F.col("s"), F.col("b")).alias("y")).collect()]
-    rest = text.replace("archbishop of constantinople,", "")
-    # the first rule needs a header without full stops, the second takes it up to the book's name
-    assert got == [" Text st. john. Preface. ", rest, rest, None, " Text"]
+    rest = text.removeprefix("Homilies of St. John Chrysostom, ")  # another book's words stay
+    assert got == ["Text st. john. archbishop of constantinople,", rest, rest, None, "Text", "<p>On the third day</p>", "<p>st. johnny</p>", "<p>on the</p>", "", "On the way"]
+    preface = [r["y"] for r in spark.createDataFrame([("<p>Preface.</p><p>They that are</p>", True), ("<p>Preface. They</p>", True), ("<p>Preface.</p>", False)], "s string, p boolean").select(editions.headers_removed(F.col("s"), F.lit("john"), F.col("p")).alias("y")).collect()]
+    assert preface == ["<p>They that are</p>", "<p>They</p>", "<p>Preface.</p>"]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("<A NAME=\"C3\"></A></SPAN><sup>16</sup></h3> <p>a</p>", "<p>a</p>"),
+        ("<h3>SERMON IV.</h3><p>a</p><h3>Other</h3>", "<p>a</p><h3>Other</h3>"),
+        ("<p>a</p><p> </p><p class=\"x\">From the Syriac MS.</p><p>From the hills</p>", "<p>a</p><p>From the hills</p>"),
+        ("<blockquote><p>From Mai</blockquote><blockquote>And it came</blockquote>", "<blockquote>And it came</blockquote>"),
+        ("<p>cc. 2:21-24.</p><p>c. 2:21.</p><p>c. 2:21 is read</p>", "<p>c. 2:21 is read</p>"),
+        ("<p>From S. Cyril's Commentary on Luke</p><p>a Sermon of S. Cyril, b</p><p>c</p>", "<p>c</p>"),
+        ("a [From Mai and Cramer] b [from  him] c [Fromage]", "a  b  c [Fromage]"),
+        ("<p>SERMON II. He <i>said</i> <b>so</b></p>", "<p>He <em>said</em> <strong>so</strong></p>"),
+        ('a<A NAME="1"></A>1. <sup>x</sup> note <i>b</i><A NAME="q"></A>c<A NAME="2"></A>2. d<p>e</p>', 'a<A NAME="q"></A>c<p>e</p>'),
+        ("<script>x\ny</script><style>z</style> a", "a"),
+        ("", ""),
+        (None, None),
+    ],
+)
+def test_sermons(spark, text, want):
+    assert one(spark, text, editions.sermon_cleaned) == want
+
+
+def test_long_texts_have_no_deep_patterns(spark):
+    long = "word " * 60_000
+    assert one(spark, f"<p>{long}</p>", editions.sermon_cleaned) == f"<p>{long}</p>"
+    assert one(spark, f'{long}<a name="1"></a>1. {long}', editions.sermon_cleaned) == long.rstrip()
+    assert one(spark, " " * 100_000 + "st. john. a", lambda c: editions.headers_removed(c, F.lit("john"))) == " " * 100_000 + "a"
 
 
 def test_divisions_and_slices(spark):
