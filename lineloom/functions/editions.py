@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions import markup
+from lineloom.functions.markup import once
 
 # The wording of the edited texts' headers and remarks.
 HEADER = ("Homilies of St. John Chrysostom", "archbishop of constantinople", "gospel according to st. {book}", "st. {book}")
@@ -62,8 +63,9 @@ def from_first_text(parts: Column, wording: Sequence[Column]) -> Column:
     """Blocks from the first that says more than this wording and ``LINK``: punctuation alone is nothing. If none does, all of them."""
     known = any_of([phrase(w) for w in [*wording, LINK]])
     says = lambda b: F.regexp_replace(plain(b), known, F.lit("")).rlike(r"[\p{L}\p{N}]")
-    first = F.array_position(F.transform(parts, says), True).cast("int")
-    return F.when(first > 1, F.slice(parts, F.greatest(first, F.lit(1)), F.greatest(F.size(parts), F.lit(1)))).otherwise(parts)
+    first = lambda p: F.array_position(F.transform(p, says), True).cast("int")
+    cut = lambda p, at: F.when(at > 1, F.slice(p, F.greatest(at, F.lit(1)), F.greatest(F.size(p), F.lit(1)))).otherwise(p)
+    return once(parts, lambda p: once(first(p), lambda at: cut(p, at)))
 
 
 def without_start(s: Column, wording: Sequence[Column]) -> Column:
@@ -89,11 +91,9 @@ def headers_removed(s: Column, book: Column, preface: Column | None = None) -> C
     """The blocks of a book's header go, and its words at the start of the first block of text; where ``preface`` holds,
     that word too. Headers of other books stay."""
     wording = header_wording(book)
-    body = without_start(joined(from_first_text(blocks(s), wording)), wording)
-    if preface is None:
-        return body
-    wording = [*wording, F.lit(PREFACE)]
-    return F.when(F.coalesce(preface, F.lit(False)), without_start(joined(from_first_text(blocks(s), wording)), wording)).otherwise(body)
+    if preface is not None:  # a word that is a header only there; elsewhere the first phrase stands in for it
+        wording = [*wording, F.when(preface, PREFACE).otherwise(HEADER[0])]
+    return without_start(joined(from_first_text(blocks(s), wording)), wording)
 
 
 def header_lines_removed(s: Column, book: Column | None = None) -> Column:
@@ -106,11 +106,11 @@ def titles_removed(s: Column, numeral: Column, whole_only: Column | None = None)
     """Blocks that are only a row's own title ("Homily" and its numeral) or one quotation go, and the title in running text.
     Where ``whole_only`` holds, titles in running text stay; a null numeral removes quotations only."""
     title = F.concat(F.lit("homily "), F.lower(numeral), F.lit("."))
-    quoted = lambda b: is_element(b, "p") & plain(b).rlike(r'\A"[^"]+"\z')
-    kept = joined(F.filter(blocks(s), lambda b: ~(quoted(b) | F.coalesce(is_element(b, "p") & (plain(b) == title), F.lit(False)))))
+    gone = lambda said: said.rlike(r'\A"[^"]+"\z') | F.coalesce(said == title, F.lit(False))
+    kept = joined(F.filter(blocks(s), lambda b: ~(is_element(b, "p") & once(plain(b), gone))))
     stays = numeral.isNull() if whole_only is None else numeral.isNull() | F.coalesce(whole_only, F.lit(False))
     own = F.concat(F.lit(r"\b"), phrase(F.concat(F.lit("Homily "), F.coalesce(numeral, F.lit("")), F.lit("."))))
-    return F.when(stays, kept).otherwise(F.regexp_replace(kept, own, F.lit("")))
+    return once(kept, lambda k: F.when(stays, k).otherwise(F.regexp_replace(k, own, F.lit(""))))
 
 
 def leading_reference_removed(s: Column, names: Sequence[str]) -> Column:
@@ -138,22 +138,28 @@ def renamed(s: Column, names: Mapping[str, str] | None = None) -> Column:
 
 def is_remark(block: Column) -> Column:
     """Blocks that tell a sermon's number, its source or its passage, and empty paragraphs."""
-    said = plain(block)
-    told = reduce(Column.__or__, [F.contains(said, F.lit(f"from {x}".lower())) for x in SOURCES])
-    numbered = said.rlike(r"\bsermon [ivxlcdm]+\b")
-    editorial = reduce(Column.__or__, [F.contains(said, F.lit(x.lower())) for x in EDITORIAL])
-    short = is_element(block, "p") & (said.rlike(r"\A\[?from ") & told | said.rlike(r"\Acc?\. \d+:\d+[\d-]*\.\z") | (said == ""))
-    return is_element(block, "h3", "blockquote") & (told | numbered) | is_element(block, "p") & editorial | short
+
+    def remark(said: Column) -> Column:
+        told = reduce(Column.__or__, [F.contains(said, F.lit(f"from {x}".lower())) for x in SOURCES])
+        numbered = said.rlike(r"\bsermon [ivxlcdm]+\b")
+        editorial = reduce(Column.__or__, [F.contains(said, F.lit(x.lower())) for x in EDITORIAL])
+        short = said.rlike(r"\A\[?from ") & told | said.rlike(r"\Acc?\. \d+:\d+[\d-]*\.\z") | (said == "")
+        return is_element(block, "h3", "blockquote") & (told | numbered) | is_element(block, "p") & (editorial | short)
+
+    return once(plain(block), remark)
 
 
 def sermon_cleaned(s: Column) -> Column:
     """A sermon's text without scripts, page marks, editorial remarks, the end of a heading that a cut left over, number
     marks in running text and defined notes; presentational elements get semantic names."""
-    text = markup.rewrite(s, markup.CLEAN_DOCUMENT[:3])
-    place = lambda x: F.nullif(F.call_function("locate", F.lit(x), F.lower(text), F.lit(1)), F.lit(0))
-    end = place("</h3>")
-    cut = F.coalesce(end < F.least(*[F.coalesce(place(x), F.length(text) + 1) for x in ("<h3", "<p>", "<p ")]), F.lit(False))
-    rest = F.when(cut, F.substring(text, end + 5, F.length(text))).otherwise(text)
+
+    def from_text(text: Column) -> Column:
+        place = lambda x: F.nullif(F.call_function("locate", F.lit(x), F.lower(text), F.lit(1)), F.lit(0))
+        end = place("</h3>")
+        cut = F.coalesce(end < F.least(*[F.coalesce(place(x), F.length(text) + 1) for x in ("<h3", "<p>", "<p ")]), F.lit(False))
+        return F.when(cut, F.substring(text, end + 5, F.length(text))).otherwise(text)
+
+    rest = once(markup.rewrite(s, markup.CLEAN_DOCUMENT[:3]), from_text)
     kept = joined(F.filter(blocks(rest), lambda b: ~is_remark(b)))
     kept = F.regexp_replace(kept, r'(?i)<a name="p\d+">\s*<span class="?pb"?>[^<]*</span>\s*</a>', "")
     kept = F.regexp_replace(bracketed_removed(kept, "From"), r"(?i)\bsermon\s+[ivxlc]+\b\.?\s*", "")
@@ -184,9 +190,9 @@ def division_by_ordinal(s: Column, n: Column, kind: str, without: str, element:
 def slice_ladder(s: Column, start: str | Column, ends: Sequence[str | Column]) -> Column:
     """From ``start`` to the next place of the first of ``ends`` that occurs behind it, else to the end; null without a start."""
     value = lambda x: F.lit(x) if isinstance(x, str) else x
-    at = F.nullif(F.call_function("locate", value(start), s, F.lit(1)), F.lit(0))
-    places = [F.nullif(F.call_function("locate", value(e), s, at + 1), F.lit(0)) for e in ends]
-    return F.substring(s, at, F.coalesce(*places, F.length(s) + 1) - at)
+    place = lambda s, x, at: F.nullif(F.call_function("locate", value(x), s, at), F.lit(0))
+    cut = lambda s, at: F.substring(s, at, F.coalesce(*[place(s, e, at + 1) for e in ends], F.length(s) + 1) - at)
+    return once(s, lambda s: once(place(s, start, F.lit(1)), lambda at: cut(s, at)))
 
 
 # --- notes
@@ -206,8 +212,8 @@ def note_text(s: Column) -> Column:
     paragraph = F.regexp_extract_all(s, F.lit(r"(?s)<p[^>]*>(.*?)</p>"), F.lit(1))
     inner = F.coalesce(F.get(paragraph, 0), s)
     marked = markup.rewrite(inner, [(r'<span[^>]*lang="EL"[^>]*>([^<]+)</span>', "[Greek: $1]"), (r"<[^>]+>", "")])
-    text = markup.normalise_space(markup.decode_entities(marked))
-    return F.when(text.startswith("[") & text.endswith("]"), F.substring(text, F.lit(2), F.greatest(F.length(text) - 2, F.lit(0)))).otherwise(text)
+    bare = lambda t: F.when(t.startswith("[") & t.endswith("]"), F.substring(t, F.lit(2), F.greatest(F.length(t) - 2, F.lit(0)))).otherwise(t)
+    return once(markup.normalise_space(markup.decode_entities(marked)), bare)
 
 
 def note_by_number(s: Column, number: Column) -> Column:
@@ -215,10 +221,10 @@ def note_by_number(s: Column, number: Column) -> Column:
 
     The anchor is followed by the number and a full stop, which are no part of the note."""
     n = number.cast("string")
-    anchor, lower = F.concat(F.lit('<a name="'), n, F.lit('"></a>'), n, F.lit(".")), F.lower(s)
-    at = F.nullif(F.call_function("locate", anchor, lower, F.lit(1)), F.lit(0)) + F.length(anchor)
-    stops = [F.nullif(F.call_function("locate", F.lit(x), lower, at), F.lit(0)) for x in ("<a name=", "<p>", "<p ")]
-    body = F.substring(s, at, F.least(*[F.coalesce(x, F.length(s) + 1) for x in stops]) - at)
+    anchor = F.concat(F.lit('<a name="'), n, F.lit('"></a>'), n, F.lit("."))
+    place = lambda s, x, at: F.nullif(F.call_function("locate", x, F.lower(s), at), F.lit(0))
+    stop = lambda s, at: F.least(*[F.coalesce(place(s, F.lit(x), at), F.length(s) + 1) for x in ("<a name=", "<p>", "<p ")])
+    body = once(s, lambda s: once(place(s, anchor, F.lit(1)) + F.length(anchor), lambda at: F.substring(s, at, stop(s, at) - at)))
     return markup.normalise_space(markup.decode_entities(markup.strip_tags(body)))
 
 

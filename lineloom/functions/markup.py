@@ -37,6 +37,11 @@ MARK_AFTER_PUNCTUATION: Rules = ((r"\s*(<sup\b[^>]*>.*?</sup>)\s*([.,;:!?]+)", "
 HYPHENS: Rules = ((r"[-—]+\s*", ""),)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it stands there."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def rewrite(s: Column, rules: Rules) -> Column:
     """Apply rules in order."""
     return reduce(lambda c, r: F.regexp_replace(c, F.lit(r[0]), F.lit(r[1])), rules, s)

@@ -22,36 +22,31 @@ PAGE = ["author", "book", "number"]
 
 def notes_set_aside(s: Column, pattern: str) -> Column:
     """Each note is replaced by a mark with its number, group 1 of ``pattern``. Marks go behind the punctuation that
-    follows them, and a blank between punctuation and a mark goes."""
+    follows them, without blanks between, and a blank between punctuation and a mark goes."""
     marked = F.regexp_replace(s, pattern, f"{OPEN}$1{CLOSE}")
     mark = f"{OPEN}[^{CLOSE}]*{CLOSE}"
-    behind = F.regexp_replace(marked, rf"((?:{mark})+)([.,;:!?]+)", "$2$1")
+    behind = F.regexp_replace(marked, rf"\s*((?:{mark})+)([.,;:!?]+)", "$2$1")
     return F.regexp_replace(behind, rf"(?<=[.,;:!?])\s+(?={OPEN})", "")
 
 
-def notes_put_back(df: DataFrame, key: Sequence[str], text: str, notes: DataFrame, fallback: str | None = None) -> DataFrame:
+def notes_put_back(df: DataFrame, key: Sequence[str], text: str, notes: DataFrame, in_turn: Column | None = None, fallback: str = "Footnote %s") -> DataFrame:
     """Marks become superscripts with the note as tooltip, and a space where a letter follows.
 
-    ``notes`` (key, original, display, content): a mark is looked up by its original number, then as the n-th note of its page; without
-    either it goes, or with ``fallback`` (a format of its number) keeps that as its tooltip and its place as its number.
+    ``notes`` (key, original, display, content): a mark is looked up by its original number; without a note it goes. Where
+    ``in_turn``, a condition on the key, holds, it is shown under its place, and its tooltip is the note of its original number, else the one that is
+    displayed under that number, else ``fallback``.
     """
-    own = notes.select(*key, F.col("original").cast("string").alias("n"), F.struct(F.col("display").cast("string").alias("shown"), "content").alias("note"))
-    own = own.groupBy(*key, "n").agg(F.min_by("note", "note.shown").alias("note"))
-    nth = notes.select(*key, F.col("display").cast("string").alias("n"), F.struct(F.col("display").cast("string").alias("shown"), "content").alias("note"))
-    nth = nth.groupBy(*key, "n").agg(F.min_by("note", "note.content").alias("note"))
+    told = F.struct(F.col("display").cast("string").alias("shown"), "content")
+    by = lambda column, name: notes.select(*key, F.col(column).cast("string").alias("n"), told.alias("_t")).groupBy(*key, "n").agg(F.min("_t").alias(name))
+    known = by("original", "_own").join(by("display", "_nth"), [*key, "n"], "full")
+    in_turn = F.lit(False) if in_turn is None else F.coalesce(in_turn, F.lit(False))
 
     def write(found: DataFrame) -> DataFrame:
-        at = [*key, "n"]
-        both = found.join(own.withColumnRenamed("note", "_own"), at, "left").join(nth.withColumnRenamed("note", "_nth"), at, "left")
-        place = F.col("ordinal").cast("string")
-        if fallback is None:
-            note = F.col("_own")
-        else:
-            told = F.coalesce("_own.content", "_nth.content", F.format_string(fallback, "n"))
-            note = F.struct(place.alias("shown"), told.alias("content"))
+        both = found.join(known, [*key, "n"], "left")
+        content = F.when(in_turn, F.coalesce("_own.content", "_nth.content", F.format_string(fallback, "n"))).otherwise(F.col("_own.content"))
+        shown = F.when(in_turn, F.col("ordinal").cast("string")).otherwise(F.col("_own.shown"))
         space = F.when(F.col("next") != "", " ").otherwise("")
-        mark = F.concat(F.lit('<sup class="note" data-note="'), markup.escape_attribute(note["content"]), F.lit('">'), note["shown"], F.lit("</sup>"), space)
-        return both.withColumn("replacement", mark)
+        return both.withColumn("replacement", F.concat(F.lit('<sup class="note" data-note="'), markup.escape_attribute(content), F.lit('">'), shown, F.lit("</sup>"), space))
 
     return markup.replace_with(df, key, text, rf"{OPEN}([^{CLOSE}]*){CLOSE}(?=([A-Za-z]?))", ["n", "next"], write)
 
@@ -70,8 +65,8 @@ def homily_body(division: Column, book: Column, numeral: Column, names: Sequence
     text = editions.headers_removed(F.regexp_replace(text, r"\A\s*<div2[^>]*>", ""), book, is_preface)
     text = markup.rewrite(editions.titles_removed(text, numeral, is_preface), markup.PAGE_BREAKS)
     text = markup.rewrite(markup.rewrite(markup.strip_tags(text, ["p"]), [(r"<p\s[^>]*>", "<p>")]), markup.TIDY_SPACE)
-    first = editions.leading_reference_removed(F.trim(markup.paragraphs(text)), names)
-    return F.when(is_preface, markup.paragraphs(text)).otherwise(first)
+    first = lambda t: F.regexp_replace(editions.leading_reference_removed(t, names), r"\A<p></p>", "")
+    return markup.once(F.trim(markup.paragraphs(text)), lambda t: F.when(is_preface, t).otherwise(first(t)))
 
 
 def sermon_body(page: Column, roman: Column, navigation: str) -> Column:
@@ -82,7 +77,7 @@ def sermon_body(page: Column, roman: Column, navigation: str) -> Column:
     return editions.sermon_cleaned(F.regexp_replace(marked, r"(?s)\A<a name[^>]*>(?:</a>)?", ""))
 
 
-def served(requests: DataFrame, texts: DataFrame, notes: DataFrame, coverage: DataFrame, known: Mapping[str, Sequence[str]], second: str, names: Sequence[str]) -> DataFrame:
+def served(requests: DataFrame, texts: DataFrame, notes: DataFrame, coverage: DataFrame, known: Mapping[str, Sequence[str]], second: str) -> DataFrame:
     """Q4: (author, book, number, status, reference, html) of requested pages, one row a request.
 
     ``requests`` (author, book, number as text), ``texts`` (author, book, number, body) of divisions that ``homily_body`` and ``sermon_body`` have made, ``notes`` (author, book, number,
@@ -92,8 +87,7 @@ def served(requests: DataFrame, texts: DataFrame, notes: DataFrame, coverage: Da
     number = F.col("number").try_cast("int")
     asked = requests.select("author", "book", F.col("number").alias("asked"), number.alias("number"))
     pairs = valid_page(F.col("author"), F.col("book"), F.lit("1"), known)
-    bodies = notes_put_back(texts.select(*PAGE, "body"), PAGE, "body", notes.where(F.col("author") != second), None).where(F.col("author") != second)
-    bodies = bodies.unionByName(notes_put_back(texts.where(F.col("author") == second).select(*PAGE, "body"), PAGE, "body", notes, "Footnote %s"))
+    bodies = notes_put_back(texts.select(*PAGE, "body"), PAGE, "body", notes, F.col("author") == second)
     label = F.concat(F.initcap("book"), F.lit(" "), range_label(*[F.col(c) for c in ("start_major", "start_minor", "end_major", "end_minor")]))
     passages = coverage.select(*PAGE, label.alias("reference")).groupBy(*PAGE).agg(F.min("reference").alias("reference"))
     rows = asked.join(bodies, PAGE, "left").join(passages, PAGE, "left").join(note_list(notes, PAGE), PAGE, "left")
