@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import editions, markup, numerals, refs
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
-from lineloom.plans import crossref, search, served, structure  # noqa: F401
+from lineloom.plans import crossref, jobs, search, served, structure  # noqa: F401
 from lineloom.plans.registry import CLEAN_SQL as _CLEAN
 from lineloom.plans.registry import LINES_SQL as _LINES
 from lineloom.plans.registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401

@@ -1,4 +1,4 @@
-"""Sinks (K1-K3, K5, K7, S14, U7)."""
+"""Sinks (K1, K3, K5, K7, S14)."""
 
 from __future__ import annotations
 
@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 
 def map_json(df: DataFrame, key: str, value: str, group: str | None = None) -> DataFrame:
-    """K1, E5: one JSON object of key to value (a row each ``group``), keys in string order. Of repeated keys the largest value stays."""
+    """K1, E5: one JSON object of key to value (a row each ``group``), keys in string order. Of repeated keys the largest value stays.
+    An object is one value, so a group's keys come together in one task."""
     by = [group] if group else []
     one = df.groupBy(*by, F.col(key).cast("string").alias("k")).agg(F.max(value).alias("v"))
     whole = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))))
     return one.groupBy(*by).agg(whole.alias("json"))
 
 
-def write_map_json(df: DataFrame, key: str, value: str, path: str, group: str | None = None) -> None:
-    map_json(df, key, value, group).write.mode("overwrite").json(path)
-
-
 def write_chapters(df: DataFrame, path: str, order: str = "verse") -> None:
     """K3: text files partitioned by book and chapter, verses in order inside each."""
     row = F.concat(F.col("chapter").cast("string"), F.lit(":"), F.col("verse").cast("string"), F.lit(" "), F.col("text"))
@@ -25,11 +22,6 @@ def write_chapters(df: DataFrame, path: str, order: str = "verse") -> None:
     out.repartition("book", "nn").sortWithinPartitions("book", "nn", order).select("book", "nn", "value").write.mode("overwrite").partitionBy("book", "nn").text(path)
 
 
-def replace_table(df: DataFrame, name: str) -> None:
-    """U7"""
-    df.write.mode("overwrite").saveAsTable(name)
-
-
 def add_if_absent(df: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
     """Fill ``column`` from ``found`` where it is null."""
     other = found.select(key, F.col(column).alias("_new"))

@@ -2,10 +2,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineloom.operators import grouping, intervals, lookup, reshape, runs
 from lineloom.plans import crossref, search
-from lineloom.sources import readers, writers
+from lineloom.sources import notes, readers, writers
 
 
 @pytest.mark.parametrize("rows", [1, 7, 200_000])
@@ -116,10 +117,10 @@ def test_chapter_files_round_trip(spark, tmp_path):
 
 def test_sources(spark, tmp_path):
     (tmp_path / "m.json").write_text('{"luke": {"1:1": "I.1", "1:2": "V.2"}}')
-    m = readers.read_or_empty(spark, str(tmp_path / "m.json"), "luke map<string,string>")
+    m = notes.read_with_rejects(spark, str(tmp_path / "m.json"), T.StructType.fromDDL("luke map<string,string>"))[0]
     assert sorted((r["key"], r["value"]) for r in readers.map_rows(m, "luke").collect()) == [("1:1", "I.1"), ("1:2", "V.2")]
     assert readers.map_rows(m, "luke", whole_keys=True).count() == 0
-    assert readers.read_or_empty(spark, str(tmp_path / "absent.json"), "luke map<string,string>").count() == 0
+    assert [x.count() for x in notes.read_with_rejects(spark, str(tmp_path / "absent.json"), T.StructType.fromDDL("luke map<string,string>"))] == [0, 0]
     (tmp_path / "c.txt").write_text("Mt\tMk\n1\t2\n3\t\n1,4\t5\n")
     rows = readers.tsv(spark, str(tmp_path / "c.txt"), "mt int, mk int", skip=1).orderBy("rowid").collect()
     assert [tuple(r) for r in rows] == [(1, 1, 2), (2, 3, None), (3, None, 5)]
