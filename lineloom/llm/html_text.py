@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags. The first pass looks at each bloc
 characters inside links (link density) and the share of stop words among its words. A block of links is boilerplate, one
 that isn't short and has the stop words of running prose is text, the others are left open; a long one without such words
 becomes text only where all its neighbours are. Tables, repeated tokens and scripts without listed stop words are judged
-by length alone.
+by length alone. Where most of a page's blocks lack the listed stop words, its language is another or it has no sentences
+(names, figures): then density says nothing there, and a long block that isn't made of links is text.
 
 Sections add evidence: what stands in navigation, footers, sidebars, notices, adverts, forms or comments, by tag, role or
 class, is boilerplate, unless that section holds most of the page's prose: then it only wraps the text. Comments are not
@@ -210,6 +211,9 @@ def judged(text: str, linked: int) -> tuple[bool | None, bool, bool]:
 def classify(found: list[Block], said: dict[int, int]) -> list[Block]:
     """Set the label of every block: True for main text."""
     first = [judged(b.text, b.linked) for b in found]
+    plain = [(len(b.text), f[0]) for b, f in zip(found, first, strict=True) if f[0] is not False and len(b.text) >= SHORT and not b.sides]
+    if 2 * sum(n for n, label in plain if label) < sum(n for n, _ in plain):  # not a page of the listed languages
+        first = [(True, True, False) if f[0] is None and len(b.text) >= LONG else f for b, f in zip(found, first, strict=True)]
     prose: Counter[int] = Counter()  # letters of prose in each section that may be boilerplate
     total = 0
     for b, (label, _, _) in zip(found, first, strict=True):

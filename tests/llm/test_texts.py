@@ -235,16 +235,49 @@ def test_statistics_decide(spark, small, monkeypatch):
     assert same([html_text.main_text(bare(p)) for p in pages]) > 0.96
     with monkeypatch.context() as m:
         m.setattr(html_text, "STOP_WORDS", frozenset())
-        assert same([html_text.main_text(p) for p in pages]) < 0.3
+        assert same([html_text.main_text(p) for p in pages]) > 0.99  # as pages of a language that no list has
     with monkeypatch.context() as m:
         m.setattr(html_text, "LINKS", 2)
         assert same([html_text.main_text(bare(p)) for p in pages]) < 1
         assert "Another" in html_text.main_text(f"<body><p>{P}</p><ul><li><a href=1>Another text of ours</a></li></ul><p>{P}</p></body>")
     names = f"<body><div><p>{' '.join('abc' + chr(97 + i) + 'xyz'[i % 3] * i for i in range(26))}</p></div><h1>T</h1></body>"
-    assert html_text.main_text(names) == ""
+    assert html_text.main_text(names).endswith("T")
+    beside = f"<body><p>{P}</p><p>{P}</p><div><p>{' '.join('abc' + chr(97 + i) + 'xyz'[i % 3] * i for i in range(26))}</p></div><h1>T</h1></body>"
+    assert "abcb" not in html_text.main_text(beside)  # density tells it from the prose around
     with monkeypatch.context() as m:
         m.setattr(html_text, "LONG", 1 << 30)
-        assert html_text.main_text(names).endswith("T")
+        assert "abcb" in html_text.main_text(beside)
+
+
+#: Prose in languages whose words no list has.
+ELSEWHERE = {
+    "Finnish": "Kaupungin vanhassa keskustassa avattiin eilen uusi kirjasto, jota asukkaat olivat odottaneet yli kymmenen vuotta. Rakennuksen suunnitteli nuori arkkitehti, joka kertoi halunneensa tuoda valoa jokaiseen huoneeseen. Avajaisiin saapui satoja ihmisiä, ja jonot ulottuivat torille saakka.",
+    "Polish": "Wczoraj otwarto nową bibliotekę, na którą mieszkańcy czekali ponad dziesięć lat. Budynek zaprojektowała młoda architektka, która chciała wpuścić światło każdym oknem. Przyszły setki osób, kolejka sięgała rynku, dzieci zaś dostały pierwsze karty czytelnika wraz drobnymi upominkami.",
+    "Turkish": "Kentin eski merkezinde dün yeni kütüphane açıldı, sakinler bunu yıllardır bekliyordu. Binayı genç mimar tasarladı, her odaya ışık getirmek istediğini söyledi. Açılışa yüzlerce kişi geldi, kuyruk meydana kadar uzandı, çocuklara ilk okuyucu kartları dağıtıldı.",
+    "Indonesian": "Perpustakaan baru dibuka kemarin dekat alun-alun kota setelah warga menunggu lebih dari sepuluh tahun. Arsitek muda merancang gedung itu supaya cahaya masuk hingga setiap ruangan. Ratusan orang datang, antrean mencapai pasar, anak-anak menerima kartu anggota pertama mereka.",
+    "Swedish": "Igår öppnades stadens nya bibliotek efter över tio års väntan. Byggnaden ritades av ung arkitekt, vilken ville släppa in ljus genom varje fönster. Hundratals invånare kom dit, kön sträckte sig ända bort till torget, barnen fick sina första lånekort samt små gåvor.",
+    "Vietnamese": "Hôm qua thư viện mới được khánh thành giữa trung tâm thành phố sau hơn mười năm chờ đợi. Kiến trúc sư trẻ thiết kế tòa nhà muốn đưa ánh sáng vào mọi căn phòng. Hàng trăm người dân tới dự, hàng dài kéo đến quảng trường, trẻ nhỏ nhận thẻ đọc đầu tiên.",
+    "names": "Aaltonen Virtanen Korhonen Mäkinen Nieminen Mäkelä Hämäläinen Laine Heikkinen Koskinen Järvinen Lehtonen Lehtinen Saarinen Salminen Heinonen Niemi Heikkilä Kinnunen Salonen Turunen Salo Laitinen Tuominen Rantanen Karjalainen Jokinen Mattila Savolainen",
+    "sheet": "Display 6.1 inch OLED 2532x1170 pixels; Processor A15 hexacore 3.2 GHz; Memory 6 GB LPDDR4X; Storage 128/256/512 GB; Camera 12 MP f/1.5 + 12 MP f/2.4; Battery 3240 mAh, charging 20 W; Weight 174 g; Dimensions 146.7 x 71.5 x 7.65 mm; Ports Lightning; Radio 5G, WiFi 6, Bluetooth 5.0",
+}
+
+
+@pytest.mark.parametrize("language", ELSEWHERE)
+@pytest.mark.parametrize("wrap", ["{}", "<article>{}</article>", "<main>{}</main>", "<div><section>{}</section></div>"])
+@pytest.mark.parametrize("times", [1, 2])
+def test_pages_of_any_language_keep_their_text(language, wrap, times):
+    text = ELSEWHERE[language]
+    assert len(text) >= html_text.LONG
+    body = "".join(f"<p>{text}</p>" for _ in range(times))
+    page = f"<html><body><nav><ul><li><a href='/a'>Etusivu</a></li><li><a href='/b'>Uutiset</a></li></ul></nav>{wrap.format(f'<h1>Title</h1>{body}')}<footer>© 2024 Sivusto. {text[:80]}</footer></body></html>"
+    assert html_text.main_text(page) == " ".join(["Title", *[text] * times])
+
+
+@pytest.mark.parametrize("language", ["Finnish", "Turkish"])
+def test_a_notice_in_a_listed_language_takes_no_text_away(language):
+    text = ELSEWHERE[language]
+    page = f"<body><p>{text}</p><p>{text}</p><div class='cookie-notice'><p>{P}</p></div></body>"
+    assert html_text.main_text(page) == f"{text} {text}"
 
 
 def test_very_long_and_deep_pages():
