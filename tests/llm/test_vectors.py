@@ -167,3 +167,33 @@ def test_nearest_query_equals_brute_force(spark, small):
     assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)
     exact = {(q, i): s for q, f in nearest(rows, 100, len(rows)).items() for i, s in f}
     assert all(abs(exact[q, i] - s) < 1e-9 for q, f in got.items() for i, s in f)
+
+
+@pytest.mark.parametrize("n,d,step", [(20_000, 64, 400), (50_000, 64, 1000), (6_000, 256, 100)])
+def test_recall_as_tables_and_vectors_grow(spark, tmp_path, n, d, step):
+    """Random directions are the hardest case: all rows are about as far."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = np.random.default_rng(d + n).normal(size=(n, d)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    values = pa.ListArray.from_arrays(np.arange(0, n * d + 1, d, dtype=np.int32), pa.array(x.ravel()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": values}), tmp_path / "e.parquet", row_group_size=5000)
+    got = by_query(ann.search(spark.read.parquet(str(tmp_path / "e.parquet")), step=step))
+    assert len(got) == n // step
+    hit = 0
+    for q, found in got.items():
+        away = ((x.astype(float) - x[q]) ** 2).sum(1)
+        away[q] = np.inf
+        hit += len(set(np.argsort(away)[:10].tolist()) & {i for i, _ in found})
+        assert np.allclose([s for _, s in found], np.sqrt(away[[i for i, _ in found]]))
+    assert hit >= 0.9 * 10 * len(got)
+
+
+def test_shortlist_is_measured(spark):
+    rng = np.random.default_rng(4)
+    tight = [(i, [float(np.float32(v)) for v in rng.normal(size=8)]) for i in range(1500)]
+    rows = ann.usable(table(spark, tight), zeros=False)
+    queries, fine, coarse = ann.numbered(rows.where("id % 20 = 0")), ann._fit(rows, books=8, words=64), ann._fit(rows, books=1, words=2)
+    short = [ann.shortlist(rows, ann.index(rows, b), queries, b, 10, 1500) for b in (fine, coarse)]
+    assert short[0] < 200 < short[1] <= 1500  # the worse the codes, the longer
