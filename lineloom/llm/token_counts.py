@@ -1,19 +1,18 @@
 """Token counts under a published sentencepiece BPE vocabulary, without making the tokens.
 
 Rank-synchronous array merging: the distinct pre-tokens of a batch lie one after another in a ragged numpy array of
-symbols; each round applies every pre-token's lowest-rank pair (the leftmost of equals) at once, and a pre-token drops
-out when it has no pair left. The symbols that survive are counted, an unknown character as its UTF-8 bytes.
+symbols; each round applies all places of every pre-token's lowest-rank pair at once, and a pre-token drops out when it has
+no pair left. So a very long one takes as many rounds as it uses ranks, not as it has pairs. The symbols that survive are
+counted, an unknown character as its UTF-8 bytes.
 
 No piece holds the word mark after another character, so pre-tokens (a run of marks and what follows it) are merged
-independently. Pre-tokens of more than ``GIANT`` symbols go through a queue of pairs with the same order instead,
-which takes the same decisions in less than quadratic time.
+independently.
 """
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,7 +22,6 @@ from lineloom.llm._common import attach, with_columns
 
 MARK = "▁"
 CACHE = 400_000
-GIANT = 2_000
 _RUNS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 _NONE = np.int64(1) << 62
 
@@ -67,10 +65,7 @@ class PieceCounter:
     def count(self, words: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         out = np.zeros(len(words), np.int64)
-        rows = [i for i, w in enumerate(words) if 0 < len(w) <= GIANT]
-        for i, w in enumerate(words):
-            if len(w) > GIANT:
-                out[i] = self.count_giant(w)
+        rows = [i for i, w in enumerate(words) if w]
         if not rows:
             return out
         text = "".join(words[i] for i in rows)
@@ -89,55 +84,53 @@ class PieceCounter:
         rank, made = self.look_up(ids, np.append(ids[1:], dead))
         rank[last] = -1
         while True:
-            key = np.where(rank >= 0, rank << 32 | np.arange(len(ids)), _NONE)
-            best = np.minimum.reduceat(key, first)
+            best = np.minimum.reduceat(np.where(rank >= 0, rank, _NONE), first)
             going = best < _NONE
             if not going.all():  # what has no pair left is counted and leaves
                 over = np.repeat(~going, size)
                 ends = np.add.reduceat(self.weight[ids], first)
                 out[row[~going]] += ends[~going]
                 ids, rank, made, last = ids[~over], rank[~over], made[~over], last[~over]
-                row, size = row[going], size[going]
+                row, size, best = row[going], size[going], best[going]
                 if not len(row):
                     return out
                 first = np.concatenate(([0], np.cumsum(size)[:-1]))
-                best = np.minimum.reduceat(np.where(rank >= 0, rank << 32 | np.arange(len(ids)), _NONE), first)
-            at = best & 0xFFFFFFFF
+            at, of = self.merged_at_once(ids, rank, made, last, first, size, best)
             ids[at] = made[at]
             last[at] = last[at + 1]
             keep = np.ones(len(ids), bool)
             keep[at + 1] = False
             ids, rank, made, last = ids[keep], rank[keep], made[keep], last[keep]
-            size = size - 1
+            size = size - np.bincount(of, minlength=len(size))
             first = np.concatenate(([0], np.cumsum(size)[:-1]))
-            at = at - np.arange(len(at))  # one symbol went in each earlier row
-            for p in (at, at[at > first] - 1):
+            at = at - np.arange(len(at))  # one symbol went behind each earlier place
+            for p in (at, at[at > first[of]] - 1):
                 r, m = self.look_up(ids[p], ids[np.minimum(p + 1, len(ids) - 1)])
                 rank[p] = np.where(last[p], -1, r)
                 made[p] = m
 
-    def count_giant(self, word: str) -> int:
-        dead = self.size - 1
-        table = self.__dict__.setdefault("_pairs", None) or dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
-        self._pairs = table
-        ids = [self.char.get(c, dead) for c in word]
-        n, S = len(ids), self.size
-        queue = [(f[0], i, f[1]) for i in range(n - 1) if (f := table.get(ids[i] * S + ids[i + 1]))]
-        heapify(queue)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while queue:
-            rank, i, made = heappop(queue)
-            if ids[i] < 0 or (j := after[i]) >= n or (f := table.get(ids[i] * S + ids[j])) is None or f != (rank, made):
-                continue
-            ids[i], ids[j] = made, -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if f := table.get(made * S + ids[k]):
-                    heappush(queue, (f[0], i, f[1]))
-            if (h := before[i]) >= 0 and (f := table.get(ids[h] * S + made)):
-                heappush(queue, (f[0], h, f[1]))
-        return int(sum(self.weight[x] for x in ids if x >= 0)) + sum(len(c.encode("utf-8", "replace")) for c in word if c not in self.char)
+    def merged_at_once(self, ids: np.ndarray, rank: np.ndarray, made: np.ndarray, last: np.ndarray, first: np.ndarray, size: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs that each pre-token applies in this round, and the pre-tokens they are of.
+
+        These are all pairs of its lowest rank that don't overlap, from the left; but if a new pair that one of them makes has
+        no higher rank, that pair would be next, and the places behind it wait.
+        """
+        lowest = np.repeat(best, size)
+        at = np.flatnonzero(rank == lowest)
+        begins = np.concatenate(([True], np.diff(at) != 1))
+        at = at[(np.arange(len(at)) - np.flatnonzero(begins)[np.cumsum(begins) - 1]) % 2 == 0]  # of places in a row, every second
+        of = np.searchsorted(first, at, side="right") - 1
+        new, end = made[at], len(ids) - 1
+        after, _ = self.look_up(new, ids[np.minimum(at + 2, end)])
+        left = ids[np.maximum(at - 1, 0)]
+        joined = np.concatenate(([False], np.diff(at) == 2)) & (at - 2 >= first[of])
+        left[joined] = new[:-1][joined[1:]]
+        before, _ = self.look_up(left, new)
+        soon = (after >= 0) & ~last[at + 1] & (after <= best[of]) | (before >= 0) & (at > first[of]) & (before <= best[of])
+        waits = np.cumsum(soon) - soon
+        start = np.concatenate(([True], of[1:] != of[:-1]))
+        keep = waits == np.repeat(waits[start], np.diff(np.append(np.flatnonzero(start), len(of))))
+        return at[keep], of[keep]
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens, without the one mark that each begins with."""

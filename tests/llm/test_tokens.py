@@ -47,11 +47,20 @@ def test_counts_equal_the_library(monkeypatch):
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     want = [len(x) for x in lib.encode(texts())]
     assert token_counts.counter(PIECES).count_texts(texts()) == want
-    monkeypatch.setattr(token_counts, "GIANT", 5)
     monkeypatch.setattr(token_counts, "CACHE", 100)
     assert token_counts.PieceCounter(PIECES).count_texts(texts()) == want
 
 
+def test_very_long_pre_tokens_equal_the_library():
+    """Rounds apply a rank at once, and wait where a new pair comes first."""
+    import sentencepiece
+
+    random.seed(9)
+    long = ["a" * 5001, "ab" * 5000, "the" * 9000, "banana" * 3000 + "x", "=-" * 4000, "".join(random.choice("etaoinshrdlu") for _ in range(40_000)), "".join(random.choice(["th", "e", "the", "ing", "in", "1", "éé", "日"]) for _ in range(20_000))]
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert token_counts.counter(PIECES).count_texts(long) == [len(x) for x in lib.encode(long)]
+
+
 def test_wrong_vocabulary_is_refused():
     with pytest.raises(ValueError):
         bpe.Bpe(vocabulary_path("word_bpe_49k.json"))
