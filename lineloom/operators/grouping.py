@@ -52,9 +52,9 @@ def first_and_last(df: DataFrame, by: Sequence[str], order: Sequence[str], field
     return df.groupBy(*by).agg(*ends).select(*by, *[F.col(f"_{e}.{f}").alias(f"{e}_{f}") for e in ("first", "last") for f in fields])
 
 
-def renumbered(df: DataFrame, by: Sequence[str], number: str, out: str = "display_number") -> DataFrame:
-    """Sequential numbers in each group after a natural sort."""
-    w = Window.partitionBy(*by).orderBy(natural_number(F.col(number)), number)
+def renumbered(df: DataFrame, by: Sequence[str], number: str, out: str = "display_number", ties: Sequence[str] = ()) -> DataFrame:
+    """Sequential numbers in each group after a natural sort; rows with one number are in the order of ``ties``."""
+    w = Window.partitionBy(*by).orderBy(natural_number(F.col(number)), number, *ties)
     return df.withColumn(out, F.row_number().over(w))
 
 

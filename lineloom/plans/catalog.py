@@ -82,6 +82,8 @@ _ROMAN_SQL = (
     " || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][(n // 10) % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][n % 10 + 1]"
 )
 _VALUE_SQL = "CASE upper(substr(s, {0}::BIGINT, 1)) WHEN 'I' THEN 1 WHEN 'V' THEN 5 WHEN 'X' THEN 10 WHEN 'L' THEN 50 WHEN 'C' THEN 100 WHEN 'D' THEN 500 WHEN 'M' THEN 1000 ELSE 0 END"
+_SYMBOLS_SQL = "list_sum(list_transform(regexp_extract_all(upper(s), 'CM|CD|XC|XL|IX|IV|[MDCLXVI]'), lambda x: map {'CM': 900, 'CD': 400, 'XC': 90, 'XL': 40, 'IX': 9, 'IV': 4, 'M': 1000, 'D': 500, 'C': 100, 'L': 50, 'X': 10, 'V': 5, 'I': 1}[x]))"
+_SYMBOLS_SQL = f"coalesce({_SYMBOLS_SQL}, 0)::BIGINT"
 _DECODE_SQL = f"coalesce(list_sum(list_transform(range(1, length(s) + 1), lambda i: CASE WHEN ({_VALUE_SQL.format('i')}) < ({_VALUE_SQL.format('(i + 1)')}) THEN -({_VALUE_SQL.format('i')}) ELSE ({_VALUE_SQL.format('i')}) END)), 0)::BIGINT"
 
 
@@ -91,12 +93,12 @@ def roman_encode(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", numerals.to_roman(F.col("o_orderkey") % 4000).alias("roman"))
 
 
-@query(f"SELECT s AS name, {_DECODE_SQL} AS lenient, CASE WHEN regexp_matches(upper(s), '^[IVXLCDM]+$') THEN {_DECODE_SQL} END AS strict FROM (SELECT c_name AS s FROM customer UNION ALL SELECT {_ROMAN_SQL} FROM (SELECT c_custkey % 4000 AS n FROM customer))")
+@query(f"SELECT s AS name, {_DECODE_SQL} AS lenient, CASE WHEN regexp_matches(upper(s), '^[IVXLCDM]+$') THEN {_DECODE_SQL} END AS strict, {_SYMBOLS_SQL} AS by_symbols FROM (SELECT c_name AS s FROM customer UNION ALL SELECT {_ROMAN_SQL} FROM (SELECT c_custkey % 4000 AS n FROM customer))")
 def roman_decode(spark, sf_dir):
-    """F8"""
+    """F8, T7"""
     c = table(spark, sf_dir, "customer")
     s = c.select(F.col("c_name").alias("name")).unionAll(c.select(numerals.to_roman(F.col("c_custkey") % 4000)))
-    return s.select("name", numerals.from_roman(F.col("name")).cast("long").alias("lenient"), numerals.from_roman(F.col("name"), strict=True).cast("long").alias("strict"))
+    return s.select("name", numerals.from_roman(F.col("name")).cast("long").alias("lenient"), numerals.from_roman(F.col("name"), strict=True).cast("long").alias("strict"), numerals.from_roman_symbols(F.col("name")).cast("long").alias("by_symbols"))
 
 
 _REF = "(l_orderkey % 28 + 1)::VARCHAR || '.' || l_linenumber || CASE l_linenumber % 3 WHEN 0 THEN 'B' ELSE '' END || CASE l_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '-' || (l_linenumber + 2) WHEN 2 THEN '-' || (l_orderkey % 28 + 2) || '.' || l_linenumber || 'A' ELSE ' (in note)' END"
@@ -278,10 +280,12 @@ def distinct_ids(spark, sf_dir):
 # --- groups -------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_custkey, count(*) AS n, string_agg(o_orderkey::VARCHAR, '; ' ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, count(*) AS n, string_agg(o_orderkey || o_orderstatus, '; ' ORDER BY o_orderdate, o_orderkey) AS orders FROM orders GROUP BY o_custkey")
 def group_sorted_list(spark, sf_dir):
-    """A1, A2, A12"""
-    return grouping.joined(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey", "; ", "orders")
+    """Lists of structs, sorted."""
+    lists = grouping.grouped(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderkey", "o_orderstatus"])
+    keys = F.transform("items", lambda x: F.concat(x["o_orderkey"].cast("string"), x["o_orderstatus"]))
+    return lists.select("o_custkey", F.size("items").cast("long").alias("n"), F.array_join(keys, "; ").alias("orders"))
 
 
 @query(f"SELECT l_orderkey, count(*) AS n, string_agg({_ROMAN_SQL}, ', ' ORDER BY n) AS romans FROM (SELECT l_orderkey, l_linenumber AS n FROM lineitem) GROUP BY l_orderkey HAVING count(*) > 1")
@@ -424,9 +428,7 @@ def segment_paragraphs(spark, sf_dir):
 @query("SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_size ORDER BY coalesce(try_cast(regexp_replace(p_brand, '[^0-9]', '', 'g') AS BIGINT), 0), p_brand, p_partkey) AS display_number FROM part")
 def natural_renumber(spark, sf_dir):
     """T3, W5, W13"""
-    p = table(spark, sf_dir, "part")
-    w = Window.partitionBy("p_size").orderBy(numerals.natural_number(F.col("p_brand")), "p_brand", "p_partkey")
-    return p.select("p_partkey", "p_brand", F.row_number().over(w).alias("display_number"))
+    return grouping.renumbered(table(spark, sf_dir, "part"), ["p_size"], "p_brand", ties=["p_partkey"]).select("p_partkey", "p_brand", "display_number")
 
 
 @query("SELECT conv_id, turn, number FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS number FROM conversations) WHERE turn % 3 <> 1 AND length(text) > 0")
@@ -466,11 +468,11 @@ def layered_lookup(spark, sf_dir):
 _RANGES = ((1, 11, "a"), (12, 25, "b"), (27, 40, "c"), (41, 50, "d"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN q BETWEEN 1 AND 11 THEN 'a' WHEN q BETWEEN 12 AND 25 THEN 'b' WHEN q BETWEEN 27 AND 40 THEN 'c' WHEN q BETWEEN 41 AND 50 THEN 'd' END AS file, CASE WHEN q <= 11 THEN 'C' || q ELSE 'SERMON ' || q END AS anchor FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q FROM lineitem)")
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN q BETWEEN 1 AND 11 THEN 'a' WHEN q BETWEEN 12 AND 25 THEN 'b' WHEN q BETWEEN 27 AND 40 THEN 'c' WHEN q BETWEEN 41 AND 50 THEN 'd' END AS file, CASE WHEN q <= 11 THEN 'C' || q ELSE 'SERMON ' || {_ROMAN_SQL.replace('n ', 'q ').replace('(n', '(q')} END AS anchor FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS q FROM lineitem)")
 def range_lookup(spark, sf_dir):
     """26 is in no range."""
     q = F.col("l_quantity").cast("int")
-    anchor = F.when(q <= 11, F.concat(F.lit("C"), q.cast("string"))).otherwise(F.concat(F.lit("SERMON "), q.cast("string")))
+    anchor = F.when(q <= 11, F.concat(F.lit("C"), q.cast("string"))).otherwise(F.concat(F.lit("SERMON "), numerals.to_roman(q)))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", intervals.in_range(q, _RANGES).alias("file"), anchor.alias("anchor"))
 
 
@@ -524,12 +526,13 @@ def page_guard(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", valid.alias("valid"))
 
 
-@query("SELECT page_id, x.pos AS pos, x.content AS content FROM (SELECT page_id, unnest([{'pos': 0, 'content': 'one ' || page_id || ' three'}, {'pos': 1, 'content': 'only'}]) AS x FROM pages)")
+@query("SELECT item_id, unnest([0, 1, 2])::INT AS pos, unnest([left(text, 20) || substr(text, 21), '', substr(text, 21)]) AS content FROM benchmark")
 def element_whole_texts(spark, sf_dir):
     """Each element's whole text, nested text included."""
-    xml = F.concat(F.lit("<d><p>one <i>"), F.col("page_id").cast("string"), F.lit("</i> three</p><p><i>only</i></p></d>"))
-    rows = readers.element_texts(table(spark, sf_dir, "pages").select("page_id", xml.alias("xml")), "xml", "/d/p")
-    return rows.select("page_id", "pos", "content")
+    left, right = (markup.escape_html(F.expr(f"substr(text, {at})")) for at in ("1, 20", "21"))
+    xml = F.concat(F.lit("<d><p>"), left, F.lit("<i>"), right, F.lit('</i></p><p n="2"/><p><i>'), right, F.lit("</i></p></d>"))
+    rows = readers.element_texts(table(spark, sf_dir, "benchmark").select("item_id", xml.alias("xml")), "xml", "/d/p")
+    return rows.select("item_id", "pos", "content")
 
 
 @query(
@@ -571,7 +574,19 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", markup.normalise_space(clean).alias("text"))
 
 
-@query(f"SELECT page_id, {_paragraphs_sql(_rules_sql(_strip_sql(_rules_sql('html', markup.CLEAN_DOCUMENT), 'p|em|strong'), markup.TIDY_SPACE))} AS html FROM pages")
+_STRIPPED = (
+    "regexp_replace(regexp_replace(" + _CLEAN + ", '(?i)</?blockquote[^>]*>', '', 'g'), '(?is)<p[^>]*>\\s*</p>', '', 'g')",
+    "regexp_replace(regexp_replace(s, '(?i)<(/?)b>', '<\\1strong>', 'g'), '(?i)<(/?)i>', '<\\1em>', 'g')",
+    "regexp_replace(regexp_replace(s, '<(/?(?:p|em|strong)(?:\\b[^>]+)?)>', chr(1) || '\\1' || chr(2), 'g'), '<[^>]+>', '', 'g')",
+    "trim(regexp_replace(replace(replace(s, chr(1), '<'), chr(2), '>'), '\\s+', ' ', 'g'))",
+    "regexp_replace(replace(s, '> <', '><'), '([.,;:!?])([A-Za-z])', '\\1 \\2', 'g')",
+)
+_STEPS = "SELECT page_id, {} AS s FROM pages".format(_STRIPPED[0])
+for _step in _STRIPPED[1:]:
+    _STEPS = f"SELECT page_id, {_step} AS s FROM ({_STEPS})"
+
+
+@query(f"SELECT page_id, {_paragraphs_sql('s')} AS html FROM ({_STEPS})")
 def html_allowlist_strip(spark, sf_dir):
     """G15-G18"""
     clean = markup.rewrite(F.col("html"), markup.CLEAN_DOCUMENT)
