@@ -84,16 +84,39 @@ def test_bounds_drop_groups_and_nothing_else():
     centres = rng.normal(size=(12, 16)) * 100
     x = centres[rng.integers(0, 12, 2000)] + rng.normal(size=(2000, 16))
     near = np.argmin(((x[:, None] - centres[None]) ** 2).sum(2), axis=1)
-    away = np.array([np.sqrt(((x[near == g] - centres[g]) ** 2).sum(1)).max() for g in range(12)])
-    norm = np.array([np.sqrt((x[near == g] ** 2).sum(1)).max() for g in range(12)])
+    of = lambda f: np.array([f(x[near == g], centres[g]) for g in range(12)])
+    away, angle = of(lambda v, c: np.sqrt(((v - c) ** 2).sum(1)).max()), of(lambda v, c: exact_search._angles(v, np.broadcast_to(c, v.shape)).max())
+    norm, least = of(lambda v, c: np.sqrt((v * v).sum(1)).max()), of(lambda v, c: np.sqrt((v * v).sum(1)).min())
     closest = [np.sort(np.sqrt(((x[near == g] - centres[g]) ** 2).sum(1)))[:6] for g in range(12)]
-    need = exact_search.necessary(centres, away, norm, centres, away, norm, closest, 5)
+    groups = exact_search.Groups(np.arange(12), centres, np.bincount(near, minlength=12), away, angle, norm, least)
+    need = exact_search.necessary(groups, groups, closest, 5)
     assert not need.all()
     for g in range(12):
         for q in x[near == g][:20]:
             assert need[g][near[np.argsort(-(x @ q))[:5]]].all()
 
 
+@pytest.mark.parametrize("clusters,most", [(200, 0.25), (0, 1.0)])
+def test_groups_are_dropped_at_default_parameters(spark, monkeypatch, clusters, most):
+    """On clusters a query meets few rows, on random directions no bound of this kind can leave any out."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(8000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 8000)] + 0.02 * x
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x)]
+    seen = []
+    necessary = exact_search.necessary
+    monkeypatch.setattr(exact_search, "necessary", lambda q, x, *a: seen.append((q.n, x.n, necessary(q, x, *a))) or seen[-1][2])
+    got = by_query(exact_search.search(table(spark, rows)))
+    whole = np.floor(256 * np.array([v for _, v in rows]))
+    for q in list(got)[:40]:
+        score = (whole @ whole[q]).astype(np.int64)
+        score[q] = -(1 << 60)
+        assert [i for i, _ in got[q]] == np.lexsort((np.arange(8000), -score))[:5].tolist()
+    (q_n, x_n, need), = seen
+    assert len(got) == 160 and (q_n[:, None] * x_n * need).sum() / (q_n.sum() * x_n.sum()) <= most
+
+
 def test_large_values_are_exact():
     q, x = np.array([[2.0**30, -3.0]]), np.array([[2.0**30, 5.0], [1.0, 1.0]])
     assert exact_search.products(q, x).tolist() == [[2**60 - 15, 2**30 - 3]]
