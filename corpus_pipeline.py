@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineloom.llm import bpe, jaccard_join, language_id, mixing, pii
-from lineloom.llm._common import discard, hidden, place, stored, table
+from lineloom.llm._common import checkpointed, discard, forget, hidden, place, stored, table
 from lineloom.llm.registry import vocabulary_path
 
 #: A language must have so much of the probability of all that the model knows.
@@ -44,7 +44,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key, text = place(docs, "doc_id"), place(docs, "text")
     rows = hidden(docs)
     found = jaccard_join.join(rows.select(key, text), key, text)
-    keep = found.where(f"{key} = component_id").select(key).distinct()
+    keep = checkpointed(found.where(f"{key} = component_id").select(key).distinct())
+    del found
+    forget(spark)  # the join's shuffles go before the texts are shuffled
     first = Window.partitionBy(key, "_text").orderBy(F.xxhash64(*rows.columns))
     kept = rows.join(keep, key, "left_semi").withColumn("_text", F.md5(F.coalesce(text, F.lit("")).cast("binary"))).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return kept.select(*named(docs)).union(docs.where("doc_id IS NULL"))

@@ -56,6 +56,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more, where a checkpoint has cut what needed them.
+
+    Spark deletes them once the driver has collected its references, which an idle driver does too seldom for large jobs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
