@@ -2,14 +2,15 @@
 
 A vector is approximated by the sum of one full-dimensional codeword from each of several codebooks. The codebooks are
 trained one after the other on the residuals of a bounded sample; encoding keeps a beam of partial sums, so a later
-codeword can make up for an earlier one. The index holds each row's codes, its norm and the factor that makes its
+codeword can make up for an earlier one. Vectors are coded at length one, so that a few long ones don't take the codewords
+from the others. The index holds each row's codes, its norm and the factor that makes its
 approximation fit it best. A query makes a table of its inner products with all codewords; table look-ups and the stored
 norm give its distance from each row, about. Tiles of queries and rows exchange codes and norms, not vectors; a query's
 nearest rows by that over all tiles are its shortlist, and only these are fetched and ranked by exact distance. Every row is
 indexed and every query scans all codes.
 
 How long a shortlist must be depends on rows, components and data, so it is measured: for some queries the true nearest of all
-rows are found, and the shortlist is made so long that ``RECALL`` of them are on it.
+rows are found, of equally near ones those of smaller id, and the shortlist is made so long that ``RECALL`` of them are on it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WORDS, BEAM, SAMPLE = 256, 4, 8_192
 #: Rows and queries of a tile, about.
 ROWS, QUERIES = 16_384, 4096
 #: Share of the true nearest that shortlists must have, queries that it is measured with, and the least length for each result.
-RECALL, PROBES, LEAST = 0.96, 64, 4
+RECALL, PROBES, LEAST = 0.985, 128, 4
 
 
 def books_for(components: int) -> int:
@@ -92,10 +93,16 @@ def _fit(rows: DataFrame, sample: int = SAMPLE, books: int | None = None, words:
     some = rows.orderBy(F.xxhash64("id"), "id", "h").limit(sample).select("vec").toArrow()
     if not some.num_rows:
         return None
-    x = matrix(some.column("vec"), some.num_rows)
+    x = _unit(matrix(some.column("vec"), some.num_rows))
     return train(x, books or books_for(x.shape[1]), words)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one. They are scaled to a largest component of one first, so that no square leaves the range of numbers."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def index(rows: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
     """(id, h, codes binary, norm double, fit double) of every row of ``rows`` (as ``usable`` gives them, of one length)."""
     sent = attach(rows.sparkSession).sparkContext.broadcast(books)  # books x words codewords, whatever the table's size
@@ -105,7 +112,7 @@ def index(rows: DataFrame, books: Codebooks, beam: int = BEAM) -> DataFrame:
             codes, norm, fits = [], [], []
             x = matrix(b.column(2), b.num_rows)
             for at in range(0, b.num_rows, 512):
-                c, s = sent.value.encode(x[at : at + 512], beam)
+                c, s = sent.value.encode(_unit(x[at : at + 512]), beam)
                 like = sum(w[i] for w, i in zip(sent.value.words, c.T, strict=True))
                 codes += [r.tobytes() for r in c]
                 norm.append((x[at : at + 512] ** 2).sum(1))
@@ -145,47 +152,49 @@ def _codes(column: pa.Array | pa.ChunkedArray, n: int, books: int) -> np.ndarray
 def shortlist(rows: DataFrame, held: DataFrame, queries: DataFrame, books: Codebooks, k: int, n: int) -> int:
     """So many rows by approximate distance hold ``RECALL`` of the true k nearest, measured with ``PROBES`` queries against all rows."""
     spark = rows.sparkSession
-    probes = queries.select("id", "vec").orderBy(F.xxhash64("id"), "id", "q").limit(PROBES).toArrow()
+    probes = queries.select("id", "vec").orderBy(F.xxhash64("id", F.lit("probe")), "id", "q").limit(PROBES).toArrow()  # not the sample's order
     if not probes.num_rows or n <= LEAST * k:
         return LEAST * k
     sent = spark.sparkContext.broadcast((books.words, probes.column("id").to_numpy(), matrix(probes.column("vec"), probes.num_rows)))
 
     def true(batches):
-        """The k + 1 nearest of a task's rows to each probe, with their approximate distances."""
+        """The k nearest of a task's rows to each probe, ties to the smaller id, with their approximate distances."""
         words, qi, qv = sent.value
-        best = [np.zeros((0, 2)) for _ in qi]
+        best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0)) for _ in qi]
         for b in batches:
             x, codes = matrix(b.column(1), b.num_rows), _codes(b.column(2), b.num_rows, len(words)) if b.num_rows else None
             for i in range(len(qi) if b.num_rows else 0):
-                away = ((x - qv[i]) ** 2).sum(1)
+                ids, away = b.column(0).to_numpy(), np.sqrt(((x - qv[i]) ** 2).sum(1))
                 near = _near(words @ qv[i], codes, b.column(3).to_numpy(), b.column(4).to_numpy())
-                away[(b.column(0).to_numpy() == qi[i]) & (away == 0)] = np.inf  # its own row
-                all_ = np.concatenate([best[i], np.stack([away, near], 1)])
-                best[i] = all_[np.argsort(all_[:, 0], kind="stable")[:k]]
-        at = np.repeat(np.arange(len(qi)), [len(x) for x in best])
-        flat = np.concatenate(best)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["p", "away", "near"])
+                away[(ids == qi[i]) & (away == 0)] = np.inf  # its own row
+                away, ids, near = (np.concatenate(pair) for pair in zip(best[i], (away, ids, near), strict=True))
+                first = np.lexsort((ids, away))[:k]
+                best[i] = away[first], ids[first], near[first]
+        at = np.repeat(np.arange(len(qi)), [len(x[0]) for x in best])
+        flat = [pa.array(np.concatenate(column)) for column in zip(*best, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *flat], names=["p", "away", "id", "near"])
 
     both = rows.select("id", "h", "vec").join(held, ["id", "h"]).select("id", "vec", "codes", "norm", "fit")
-    place = F.row_number().over(Window.partitionBy("p").orderBy("away", "near"))
-    found = both.mapInArrow(true, "p int, away double, near double").withColumn("_n", place).where((F.col("_n") <= k) & (F.col("away") < float("inf"))).select("p", "near").collect()  # k for each probe
-    limits = [np.sort([r["near"] for r in found if r["p"] == p]) for p in range(probes.num_rows)]
+    place = F.row_number().over(Window.partitionBy("p").orderBy("away", "id"))
+    found = both.mapInArrow(true, "p int, away double, id long, near double").withColumn("_n", place).where((F.col("_n") <= k) & (F.col("away") < float("inf"))).select("p", "near", "id").collect()  # k for each probe
+    limits = [[(r["near"], r["id"]) for r in found if r["p"] == p] for p in range(probes.num_rows)]
     told = spark.sparkContext.broadcast(limits)
 
     def ahead(batches):
-        """How many of a task's rows are nearer to each probe than each of its true nearest, by approximate distance."""
+        """How many of a task's rows are nearer to each probe than each of its true nearest, by approximate distance and then by id."""
         words, _, qv = sent.value
         total = [np.zeros(len(x), np.int64) for x in told.value]
         for b in batches:
             if b.num_rows:
-                codes = _codes(b.column(0), b.num_rows, len(words))
-                for i, x in enumerate(told.value):
-                    near = np.sort(_near(words @ qv[i], codes, b.column(1).to_numpy(), b.column(2).to_numpy()))
-                    total[i] += np.searchsorted(near, x)
+                codes, ids = _codes(b.column(0), b.num_rows, len(words)), b.column(3).to_numpy()
+                for i, of in enumerate(told.value):
+                    near = _near(words @ qv[i], codes, b.column(1).to_numpy(), b.column(2).to_numpy())
+                    for j, (x, id_) in enumerate(of):
+                        total[i][j] += np.count_nonzero(near < x) + np.count_nonzero(ids[near == x] < id_)
         at, j = np.repeat(np.arange(len(total)), [len(t) for t in total]), np.concatenate([np.arange(len(t)) for t in total])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.concatenate(total))], names=["p", "j", "n"])
 
-    counts = held.select("codes", "norm", "fit").mapInArrow(ahead, "p int, j int, n long").groupBy("p", "j").agg(F.sum("n").alias("n")).collect()
+    counts = held.select("codes", "norm", "fit", "id").mapInArrow(ahead, "p int, j int, n long").groupBy("p", "j").agg(F.sum("n").alias("n")).collect()
     places = sorted(r["n"] for r in counts)
     return max(LEAST * k, places[math.ceil(RECALL * len(places)) - 1] + 1) if places else LEAST * k
 

@@ -220,3 +220,27 @@ def test_shortlist_is_measured(spark):
     queries, fine, coarse = ann.numbered(rows.where("id % 20 = 0")), ann._fit(rows, books=8, words=64), ann._fit(rows, books=1, words=2)
     short = [ann.shortlist(rows, ann.index(rows, b), queries, b, 10, 1500) for b in (fine, coarse)]
     assert short[0] < 200 < short[1] <= 1500  # the worse the codes, the longer
+
+
+def kinds(kind, n, d):
+    rng = np.random.default_rng(11)
+    if kind == "equally near":  # distances take few values, ids tell the rest apart
+        return rng.integers(0, 2, (n, d)).astype(np.float32)
+    return (rng.normal(size=(n, d)) * np.exp(3 * rng.normal(size=(n, 1)))).astype(np.float32)  # a few are very long
+
+
+@pytest.mark.parametrize("kind", ["equally near", "of all lengths"])
+def test_recall_on_other_rows(spark, kind):
+    n, step = 6000, 25
+    x = kinds(kind, n, 64)
+    got, hit = by_query(ann.search(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), step=step)), 0
+    for q, found in got.items():
+        away = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        away[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(n), away))[:10].tolist()) & {i for i, _ in found})
+    assert len(got) == n // step and hit >= 0.96 * 10 * len(got)
+
+
+def test_few_long_vectors_do_not_make_shortlists_long(spark):
+    rows = ann.usable(table(spark, [(i, v.tolist()) for i, v in enumerate(kinds("of all lengths", 3000, 32))]), zeros=False)
+    assert ann.shortlist(rows, ann.index(rows, b := ann._fit(rows)), ann.numbered(rows.where("id % 20 = 0")), b, 10, 3000) < 150
