@@ -75,11 +75,12 @@ def note_loader(spark, sf_dir):
     listed = rows.groupBy("page").agg(F.collect_list(F.struct(number, F.col("i").alias("display_number"), F.when(F.col("k") % 5 > 0, F.col("name")).alias("content"))).alias("v"))
     paged = rows.groupBy("page").agg(F.collect_list(F.struct(number, F.col("i").alias("display_number"), F.concat("name", F.lit(' "q"')).alias("content"))).alias("v"))
     inner = F.when(F.col("page").cast("int") % 4 > 0, F.to_json(F.struct(F.lit("X").alias("roman_numeral"), F.col("v").alias("footnotes")))).otherwise('["else"]')
-    named = rows.select(F.concat(F.lit("note_"), F.col("k").cast("string")).alias("page"), F.to_json(F.struct(F.concat(F.lit("sermons_"), "page").alias("file"), F.col("k").alias("number"), F.col("name").alias("text"))).alias("v"))
-    whole = lambda df, value: df.select(F.concat(F.lit('"'), "page", F.lit('":'), value).alias("e")).agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("e")), ","), F.lit("}")).alias("value"))
+    listed, paged = (df.withColumn("part", F.col("page")) for df in (listed, paged))  # one file for each nation, and for each 10,000 named notes
+    named = rows.select(F.floor(F.col("k") / 10_000).alias("part"), F.concat(F.lit("note_"), F.col("k").cast("string")).alias("page"), F.to_json(F.struct(F.concat(F.lit("sermons_"), "page").alias("file"), F.col("k").alias("number"), F.col("name").alias("text"))).alias("v"))
+    whole = lambda df, value: df.select(F.concat(F.lit('"'), "page", F.lit('":'), value).alias("e"), "part").groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list("e")), ","), F.lit("}")).alias("value"))
     root = scratch.folder(spark, "notes")
     for name, df in (("lists", whole(listed, F.to_json("v"))), ("pages", whole(paged, inner)), ("named", whole(named, F.col("v")))):
-        df.write.text(f"{root}/{name}")
+        df.write.partitionBy("part").text(f"{root}/{name}")
     good, bad = notes.load(spark, {n: (f"{root}/{n}", n) for n in ("lists", "pages", "named")} | {"gone": (f"{root}/gone", "lists")}, r"_(\d+)$")
     none = F.lit(None)
     return good.withColumn("reason", none.cast("string")).unionByName(bad.select("source", "page", none.cast("string").alias("original"), none.cast("int").alias("display"), none.cast("string").alias("content"), "reason"))

@@ -48,9 +48,11 @@ def _load(spark: SparkSession, name: str, path: str, shape: str, page_of_file: s
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], NOTES), spark.createDataFrame([(name, None, "no such path", path)], REJECTED)
-    entries = files.select("value", F.explode_outer(F.from_json("value", "map<string,string>")).alias("page", "entry"))
-    entries = entries.withColumn("items", F.when(F.col("page").isNotNull(), _items(shape, F.col("entry"))))
-    each = entries.select("value", "page", "entry", F.col("items").isNull().alias("no_items"), F.explode_outer("items").alias("item"))
+    # a row holds a whole file or a whole entry only where that is what is rejected: else each note would carry all of them
+    whole = lambda m: F.transform(F.map_entries(m), lambda e: F.struct(e["key"].alias("page"), e["value"].alias("entry"), F.when(e["value"].isNull(), F.col("value")).alias("file")))
+    read = F.from_json("value", "map<string,string>")
+    entries = files.select(F.explode(whole(read)).alias("e")).select("e.page", _items(shape, F.col("e.entry")).alias("items"), F.coalesce("e.entry", "e.file").alias("record"))
+    each = entries.select("page", F.when(F.col("items").isNull(), F.col("record")).alias("record"), F.col("items").isNull().alias("no_items"), F.explode_outer("items").alias("item"))
     if shape == "named":
         note = F.from_json("item", _NAMED)
         page = F.regexp_extract(note["file"], page_of_file, 1)
@@ -58,10 +60,12 @@ def _load(spark: SparkSession, name: str, path: str, shape: str, page_of_file: s
     else:
         note = F.from_json("item", _FIELDS)
         page, original, shown, content = F.col("page"), note["original_number"], note["display_number"].try_cast("int"), note["content"]
-    empty = F.trim("value").rlike(r"^\{\s*\}$")
-    reason = F.when(F.col("page").isNull() & ~empty, "no object").when(F.col("page").isNotNull() & F.col("no_items"), "not of this shape").when(F.col("item").isNotNull() & (original.isNull() | content.isNull()), "no number or text")
+    reason = F.when(F.col("no_items"), "not of this shape").when(F.col("item").isNotNull() & (original.isNull() | content.isNull()), "no number or text")
     told = each.withColumn("reason", reason)
-    rejected = told.where("reason IS NOT NULL").select(F.lit(name).alias("source"), "page", "reason", F.coalesce("item", "entry", "value").alias("record"))
+    rejected = told.where("reason IS NOT NULL").select(F.lit(name).alias("source"), "page", "reason", F.coalesce("item", "record").alias("record"))
+    empty = F.trim("value").rlike(r"^\{\s*\}$")
+    none = files.where(F.coalesce(F.size(read) < 1, F.lit(True)) & ~empty)
+    rejected = rejected.unionByName(none.select(F.lit(name).alias("source"), F.lit(None).cast("string").alias("page"), F.lit("no object").alias("reason"), F.col("value").alias("record")))
     notes = told.where("reason IS NULL AND item IS NOT NULL").select(F.lit(name).alias("source"), page.alias("page"), original.alias("original"), shown.alias("display"), content.alias("content"))
     in_order = F.row_number().over(Window.partitionBy("source", "page").orderBy(F.col("original").try_cast("int"), "original", "content"))
     return notes.withColumn("display", F.coalesce("display", in_order) if shape == "named" else F.col("display")), rejected

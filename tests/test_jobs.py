@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,15 @@ def test_notes_of_all_shapes(spark, tmp_path):
     assert [x.count() for x in notes.load(spark, {})] == [0, 0]
 
 
+def test_a_note_does_not_carry_its_file_or_entry(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"a": [{"original_number": "1", "content": "x"}, {"original_number": "2", "content": "y"}], "b": null}')
+    good, bad = notes.load(spark, {"l": (str(tmp_path / "n.json"), "lists")})
+    plan = good._jdf.queryExecution().executedPlan().toString()
+    carried = [re.search(r"explode.*?\), (?:\[(.*?)\], )?(?:true|false)", x).group(1) or "" for x in plan.splitlines() if "Generate explode" in x]
+    assert carried and not any(c.split("#")[0].strip() in ("value", "entry") for x in carried for c in x.split(","))
+    assert good.count() == 2 and [(r["page"], r["reason"], r["record"][:1]) for r in bad.collect()] == [("b", "not of this shape", "{")]
+
+
 def test_bad_records_are_a_second_output(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"a": 1}\n{"a": "no"}\nnothing\n{"a": 2}\n')
     rows, bad = notes.read_with_rejects(spark, str(tmp_path / "r.json"), T.StructType.fromDDL("a int"), multiLine="false")
