@@ -212,3 +212,14 @@ def test_overlap_needs_all_four_numbers(spark):
     a = spark.createDataFrame([(1, 1, 1, None, 5), (2, 1, -5, 1, 5), (3, -2, 0, -1, 3)], "l int, a int, b int, c int, d int")
     b = spark.createDataFrame([(1, 1, 1, 1, 1), (2, -1, 3, -1, 9), (3, None, 0, 9, 9)], "r int, e int, f int, g int, h int")
     assert sorted((x["l"], x["r"]) for x in intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", rows=1).select("l", "r").collect()) == [(2, 1), (3, 2)]
+
+
+def test_rows_of_one_interval_are_matched_once(spark):
+    """Many rows share few intervals, some of them turned around or without an end: lists of what each interval overlaps meet its rows."""
+    left = [(i, i % 3 if i % 11 else None, i % 4, i % 5, i % 3 + i % 2, i % 7 or None) for i in range(6000)]
+    right = [(i, i % 3, i % 5, i % 2, i % 3 + i % 3 - 1, i % 4) for i in range(60)]
+    a, b = spark.createDataFrame(left, "l int, k int, a int, b int, c int, d int"), spark.createDataFrame(right, "r int, k int, e int, f int, g int, h int")
+    got = intervals.overlap_join(a, b, "l", "r", "abcd", "efgh", ["k"])
+    assert "explode(_held" in got._jdf.queryExecution().toString() and sorted(got.columns) == sorted("lkabcdrefgh")
+    want = [(x[0], y[0]) for x in left for y in right if x[1] == y[1] and None not in x and x[2:4] <= y[4:6] and x[4:6] >= y[2:4]]
+    assert sorted((x["l"], x["r"]) for x in got.collect()) == sorted(want)
