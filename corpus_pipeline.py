@@ -87,5 +87,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         after = stored(stage(spark, docs, sf_dir), name)
         if before is not None:
             discard(before)
+        forget(spark)  # no stage starts with the shuffles of the one before
         docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineloom.llm._common import attach, checkpointed, slices, working
+from lineloom.llm._common import attach, checkpointed, discard, forget, slices, stored, working
 from lineloom.llm.graph import components, filter_of, in_filter
 
 WIDTH, PERCENT = 5, 80
@@ -296,7 +296,10 @@ def _tallied(x: np.ndarray) -> np.ndarray:
 
 
 def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) between documents of different groups. ``groups``: (id, group, set_hash) of the documents that take part."""
+    """Candidate pairs (a, b) between documents of different groups. ``groups``: (id, group, set_hash) of the documents that take part.
+
+    Each step's shuffles are deleted before the next one writes its own, and so are the prefixes, once the pairs are known.
+    """
     spark = df.sparkSession
     late = spark.sparkContext.broadcast(frequent)
 
@@ -309,7 +312,8 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
 
     # The prefixes, a fifth of the hashes, go through the join with the groups; texts don't.
     rows = df.where("id IS NOT NULL").mapInArrow(prefixes, "id long, n long, prefix binary, bits binary").where("n > 0")
-    rows = checkpointed(rows.join(groups, "id"))
+    rows = stored(rows.join(groups, "id"), "prefixes")
+    forget(spark)
 
     # Hashes with the ids and groups of their documents go to buckets as packed arrays, by their highest bits.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -370,6 +374,7 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
     tiles_ = dealt.mapInArrow(shared, "h long, n long, mark long, other long")
     # Hashes with the same documents make the same tile: one of them is enough.
     tiles_ = checkpointed(tiles_.groupBy("n", "mark", "other").agg(F.min("h").alias("h")).select("h", "n"))
+    forget(spark)
     open_ = spark.sparkContext.broadcast(filter_of(tiles_.select("h")))
     # Large tiles are cut into pairs of blocks. The limit grows so that there are MOST_LARGE of them at most.
     limit = max(TILE_ROWS, size // 8 // MOST_LARGE)
@@ -418,7 +423,10 @@ def _tiles(df: DataFrame, groups: DataFrame, frequent: np.ndarray, width: int, p
             made.update(tile_pairs(*tile[:4], percent, tile[4] if now[1] < now[2] else None))
         yield flush()
 
-    return tiled.mapInArrow(solve, "a long, b long").distinct()
+    pairs = checkpointed(tiled.mapInArrow(solve, "a long, b long").distinct())
+    discard(rows)
+    forget(spark)
+    return pairs
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -439,11 +447,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WI
     first = stars.groupBy("i", "seed").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
     pairs = checkpointed(stars.join(first, ["i", "seed"]).where("id <> a").select("a", F.col("id").alias("b")).distinct())
     near = checkpointed(linked(pairs, docs, width, percent))
+    forget(df.sparkSession)
 
     groups = heads.select("id").join(components(near), "id", "left").select("id", F.coalesce("component", "id").alias("group"))
-    candidates = checkpointed(_tiles(docs, checkpointed(groups), frequent, width, percent))
+    candidates = _tiles(docs, checkpointed(groups), frequent, width, percent)
     links = near.union(linked_in_tiles(candidates, docs, one.groupBy("id").agg(F.max("n").alias("n")), width, percent)).union(copies)
     links = checkpointed(links)
+    forget(df.sparkSession)
     label = components(links)
     count = links.where("a <> b").select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     out = known.join(label, "id", "left").join(count, "id", "left")

@@ -1,5 +1,7 @@
 import random
+import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -144,3 +146,33 @@ def test_query_equals_sql(spark, small):
 
     ours, theirs = both(spark, small, QUERIES["op8_similar_documents"], ORACLE_SQL["op8_similar_documents"])
     assert ours == theirs and any(r[0] != r[1] for r in ours)
+
+
+def test_shuffles_go_before_the_next_step(spark, monkeypatch):
+    """What the tiles have shuffled and stored is deleted once their pairs are known, but for the shuffles of the last step."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.getName().split("_")[1] for f in (manager.getAllFiles().apply(i) for i in range(manager.getAllFiles().size())) if f.getName().startswith("shuffle_")}
+    left, folders, make = [], [], jj._tiles
+    kept = jj.stored
+
+    def tiles(*args):
+        jj.forget(spark)
+        time.sleep(2)
+        before = files()
+        pairs = make(*args)
+        time.sleep(2)
+        left.append(files() - before)
+        return pairs
+
+    def keep(df, name):
+        out = kept(df, name)
+        folders.append(Path(out.inputFiles()[0].removeprefix("file://")).parent)
+        return out
+
+    monkeypatch.setattr(jj, "_tiles", tiles)
+    monkeypatch.setattr(jj, "stored", keep)
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(words[i : i + 30])) for i in range(60)]
+    got = jj.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and {r["component_id"] for r in got} == {0}
+    assert len(left[0]) <= 3 and len(folders) == 1 and not folders[0].exists()
