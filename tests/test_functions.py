@@ -64,6 +64,32 @@ def test_passages(spark, s, want):
     assert (tuple(got) if got else None) == want
 
 
+def test_passages_are_read_as_pattern_by_pattern(spark):
+    """The pattern that reads all forms against one pattern for each."""
+    import re
+
+    dash, comma, point, chapter = r"\s*(\d+)\.(\d+)\s*-\s*(?:\d+\.)?(\d+)", r"\s*(\d+)\.(\d+)\s*,.*?(\d+)\s*$", r"\s*(\d+)\.(\d+)", r"\s*(\d+)\s*$"
+
+    def read(s):
+        if (m := re.match(dash, s, re.A)) or ";" not in s and (m := re.match(comma, s, re.A)):
+            return tuple(map(int, m.groups()))
+        if m := re.match(point, s, re.A):
+            return int(m[1]), int(m[2]), int(m[2])
+        return (int(m[1]), 1, 1) if (m := re.match(chapter, s, re.A)) else None
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["1", "27", ".", ".", "-", ",", ";", " ", "x", "\n"]) for _ in range(rng.randint(1, 11))) for _ in range(4000)] + ["1.2 - 3.", "1.2, 3;", "1.2,3\n4", " 1.2 , 3 - 45 "]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").select("x", refs.parse_passage(F.col("x")).alias("y"))
+    assert [(r["x"], tuple(r["y"]) if r["y"] else None) for r in df.collect()] == [(x, read(x)) for x in texts]
+
+
+def test_parsers_match_each_group_once(spark):
+    """Wide expressions of patterns grow beyond what the JVM compiles."""
+    df = spark.createDataFrame([("1.2",)], "x string")
+    plan = df.select(refs.parse_passage(F.col("x")).alias("p"), refs.parse_colon_range(F.col("x")).alias("r"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract(") + plan.count("RLIKE") + plan.count("regexp_replace") <= 7
+
+
 def test_labels_and_keys(spark):
     assert one(spark, "3.16B-4", refs.start_key) == "3:16"
     assert one(spark, "18.10 (-11", refs.start_key) == "18:10 ("
