@@ -102,6 +102,20 @@ def test_long_texts_have_no_deep_patterns(spark):
     assert one(spark, " " * 100_000 + "st. john. a", lambda c: editions.headers_removed(c, F.lit("john"))) == " " * 100_000 + "a"
 
 
+def test_sermons_take_time_in_proportion_to_their_length(spark):
+    """White space inside a text was read again from each of its characters."""
+    began = time.time()
+    assert one(spark, "a" + " " * 400_000 + "b \n", editions.sermon_cleaned) == "a" + " " * 400_000 + "b"
+    assert time.time() - began < 30
+
+
+def test_remarks_behind_tags(spark):
+    """What makes a remark may stand behind or between tags."""
+    texts = ["<p><i>From</i> Mai</p>", "<p>\u00a0[<b>F</b>rom Aubert</p>", "<p>a Ser<i>mon</i> of S. Cyril</p>", "<p><i></i>\u00a0</p>", "<p>c<i>c</i>. 1:2.</p>", "<H3>x, sermon iv</H3>", "<p>x, sermon iv</p>", "<p>Word from Mai</p>", "<div>From Mai</div>"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, s string")
+    assert [r["y"] for r in df.orderBy("i").select(editions.is_remark(F.col("s")).alias("y")).collect()] == [True] * 6 + [False] * 3
+
+
 def test_divisions_and_slices(spark):
     xml = '<div2 type="Homily" n="II">b</div2><div2 type="Homily" title="Hebrews">x</div2><div2 type="Homily">c</div2>'
     by_numeral = lambda n: one(spark, xml, lambda c: editions.division_by_numeral(c, F.lit(n)))
