@@ -18,6 +18,8 @@ from lineloom.plans.crossref import valid_page
 
 OPEN, CLOSE = "\ue000", "\ue001"
 PAGE = ["author", "book", "number"]
+#: ``markup.TIDY_SPACE`` without matches that change nothing.
+_TIDY = ((r"[^\S ]\s*+| \s++", " "), (r">\s+<", "><"), (r"[.,;:!?](?=[A-Za-z])", "$0 "))
 
 
 def notes_set_aside(s: Column, pattern: str) -> Column:
@@ -25,8 +27,8 @@ def notes_set_aside(s: Column, pattern: str) -> Column:
     follows them, without blanks between, and a blank between punctuation and a mark goes."""
     marked = F.regexp_replace(s, pattern, f"{OPEN}$1{CLOSE}")
     mark = f"{OPEN}[^{CLOSE}]*{CLOSE}"
-    behind = F.regexp_replace(marked, rf"\s*((?:{mark})+)([.,;:!?]+)", "$2$1")
-    return F.regexp_replace(behind, rf"(?<=[.,;:!?])\s+(?={OPEN})", "")
+    behind = F.regexp_replace(marked, rf"(?=[\s{OPEN}])\s*+((?:{mark})+)([.,;:!?]+)", "$2$1")
+    return F.regexp_replace(behind, rf"\s(?<=[.,;:!?]\s)\s*+(?={OPEN})", "")
 
 
 def notes_put_back(df: DataFrame, key: Sequence[str], text: str, notes: DataFrame, in_turn: Column | None = None, fallback: str = "Footnote %s") -> DataFrame:
@@ -37,8 +39,9 @@ def notes_put_back(df: DataFrame, key: Sequence[str], text: str, notes: DataFram
     displayed under that number, else ``fallback``.
     """
     told = F.struct(F.col("display").cast("string").alias("shown"), "content")
-    by = lambda column, name: notes.select(*key, F.col(column).cast("string").alias("n"), told.alias("_t")).groupBy(*key, "n").agg(F.min("_t").alias(name))
-    known = by("original", "_own").join(by("display", "_nth"), [*key, "n"], "full")
+    by = lambda column: F.struct(F.col(column).cast("string").alias("n"), F.lit(column == "original").alias("own"))
+    numbered = notes.select(*key, told.alias("_t"), F.explode(F.array(by("original"), by("display"))).alias("_by")).select(*key, "_by.n", "_by.own", "_t")
+    known = numbered.groupBy(*key, "n").agg(F.min(F.when(F.col("own"), F.col("_t"))).alias("_own"), F.min(F.when(~F.col("own"), F.col("_t"))).alias("_nth"))
     in_turn = F.lit(False) if in_turn is None else F.coalesce(in_turn, F.lit(False))
 
     def write(found: DataFrame) -> DataFrame:
@@ -62,9 +65,9 @@ def homily_body(division: Column, book: Column, numeral: Column, names: Sequence
     """The text of a division, its notes set aside: without header, title, quotation, references and tags but paragraphs."""
     text = notes_set_aside(division, r'(?s)<note\b[^>]*\bn="([^"]+)"[^>]*>.*?</note>')
     text = editions.element_removed(text, "scripRef")
-    text = editions.headers_removed(F.regexp_replace(text, r"\A\s*<div2[^>]*>", ""), book, is_preface)
-    text = markup.rewrite(editions.titles_removed(text, numeral, is_preface), markup.PAGE_BREAKS)
-    text = markup.rewrite(markup.rewrite(markup.strip_tags(text, ["p"]), [(r"<p\s[^>]*>", "<p>")]), markup.TIDY_SPACE)
+    text = editions.headers_removed(F.regexp_replace(text, r"(?s)\A(?:\s*<div2[^>]*>)?(.*+)", "$1"), book, is_preface)
+    text = markup.rewrite_with(editions.titles_removed(text, numeral, is_preface), "<pb", markup.PAGE_BREAKS)
+    text = markup.rewrite(markup.rewrite(markup.strip_tags(text, ["p"]), [(r"<p\s[^>]*>", "<p>")]), _TIDY)
     first = lambda t: F.regexp_replace(editions.leading_reference_removed(t, names), r"\A<p></p>", "")
     return markup.once(F.trim(markup.paragraphs(text)), lambda t: F.when(is_preface, t).otherwise(first(t)))
 

@@ -132,6 +132,13 @@ def test_natural_number(spark):
     assert one(spark, "n. 12b", numerals.natural_number) == 12 and one(spark, "*", numerals.natural_number) == 0
 
 
+def test_replace_with_makes_the_text_once(spark):
+    df = spark.createDataFrame([(1, "a<n 1>b<n 2>"), (2, "c"), (3, ""), (4, "<n 3>")], "id int, t string").withColumn("t", F.concat("t", F.lit("MADE")))
+    out = markup.replace_with(df, ["id"], "t", "<n ([0-9])>", ["no"], lambda found: found.withColumn("replacement", F.concat("no", F.lit("/"), F.col("ordinal").cast("string"))))
+    assert {r["id"]: r["t"] for r in out.collect()} == {1: "a1/1b2/2MADE", 2: "cMADE", 3: "MADE", 4: "3/1MADE"}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MADE") == 1
+
+
 def test_replace_with_joins_a_table(spark):
     df = spark.createDataFrame([(1, "a<n 7>b<n 8>c<n 7>"), (2, "none"), (3, "<n 9>")], "id int, t string")
     known = spark.createDataFrame([("7", "seven"), ("9", "nine")], "no string, word string")
