@@ -17,6 +17,20 @@ def test_all_orders_meet_suppliers(spark, small):
     assert sorted((r["a_id"], r["b_id"]) for r in catalog.interval_overlap(spark, small).collect()) == want
 
 
+def test_orders_and_suppliers_without_bounds_meet_too(spark, small, tmp_path):
+    for p in Path(small).iterdir():
+        if p.name not in ("orders.parquet", "supplier.parquet"):
+            (tmp_path / p.name).symlink_to(p)
+    for name, key, other in (("orders", "o_orderkey", "o_custkey"), ("supplier", "s_suppkey", "s_nationkey")):
+        t = pd.read_parquet(f"{small}/{name}.parquet").astype({key: "Int64", other: "Int64"})
+        t.loc[t.index % 5 == 1, other] = pd.NA
+        t.loc[t.index % 7 == 2, key] = pd.NA
+        t.to_parquet(tmp_path / f"{name}.parquet", index=False)
+    ours, theirs = both(spark, str(tmp_path), catalog.interval_overlap, catalog.ORACLE_SQL["interval_overlap"])
+    assert ours == theirs and any(r[0] is None for r in ours)
+    assert "PushedFilters: [Is" not in catalog.interval_overlap(spark, str(tmp_path))._jdf.queryExecution().toString()
+
+
 def test_all_orders_are_exploded(spark, small):
     ours, theirs = both(spark, small, catalog.range_explode, catalog.ORACLE_SQL["range_explode"])
     assert ours == theirs
